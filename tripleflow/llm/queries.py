@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, archives, decontaminate, language, mixing, sharding
+from . import ann, archives, decontaminate, language, mixing, near_dup, sharding
 from .shared import fold, table
 
 
@@ -16,6 +16,10 @@ def op1_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(vectors, vectors.where(F.col("vec_id") % 50 == 0))
 
 
+def op5_super_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_shard_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.shard_by_bytes(table(spark, sf_dir, "documents"), 8)
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -41,7 +45,7 @@ def op10_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_adaptive_scan, op6_shard_bytes, op7_mix_curriculum, op8_cross_parse, op9_arc_to_warc, op10_fm_index)
+    f.__name__: f for f in (op1_adaptive_scan, op5_super_minhash, op6_shard_bytes, op7_mix_curriculum, op8_cross_parse, op9_arc_to_warc, op10_fm_index)
 }
 
 SQL: dict[str, str] = {}
