@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, archives, decontaminate, language, mixing, near_dup, sharding
+from . import ann, archives, decontaminate, language, lm, mixing, near_dup, sharding, toxicity
 from .shared import fold, table
 
 
@@ -16,6 +16,16 @@ def op1_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(vectors, vectors.where(F.col("vec_id") % 50 == 0))
 
 
+def op2_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.cross_entropy_difference(table(spark, sf_dir, "documents"), table(spark, sf_dir, "conversations"))
+
+
+def op4_noisy_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score_toxicity(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (fold("doc_id") == 2).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op5_super_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -45,10 +55,10 @@ def op10_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_adaptive_scan, op5_super_minhash, op6_shard_bytes, op7_mix_curriculum, op8_cross_parse, op9_arc_to_warc, op10_fm_index)
+    f.__name__: f for f in (op1_adaptive_scan, op2_cross_entropy, op4_noisy_channel, op5_super_minhash, op6_shard_bytes, op7_mix_curriculum, op8_cross_parse, op9_arc_to_warc, op10_fm_index)
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op2_cross_entropy": lm.SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
