@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, archives, decontaminate, language, lm, mixing, near_dup, sharding, toxicity
+from . import ann, archives, decontaminate, language, lm, mixing, near_dup, sharding, suffix, toxicity
 from .shared import fold, table
 
 
@@ -20,6 +20,10 @@ def op2_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.cross_entropy_difference(table(spark, sf_dir, "documents"), table(spark, sf_dir, "conversations"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op4_noisy_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = toxicity.score_toxicity(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -55,7 +59,7 @@ def op10_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_adaptive_scan, op2_cross_entropy, op4_noisy_channel, op5_super_minhash, op6_shard_bytes, op7_mix_curriculum, op8_cross_parse, op9_arc_to_warc, op10_fm_index)
+    f.__name__: f for f in (op1_adaptive_scan, op2_cross_entropy, op3_suffix_dedup, op4_noisy_channel, op5_super_minhash, op6_shard_bytes, op7_mix_curriculum, op8_cross_parse, op9_arc_to_warc, op10_fm_index)
 }
 
 SQL: dict[str, str] = {"op2_cross_entropy": lm.SQL}
