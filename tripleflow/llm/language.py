@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -197,3 +198,15 @@ def identify(docs: DataFrame, model: CrossParser, id_col: str = "doc_id") -> Dat
 
     out = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return docs.select(F.col(id_col).cast("long"), "text").mapInArrow(parse, out)
+
+
+def identified(docs: DataFrame, model: CrossParser) -> DataFrame:
+    """The rows of ``docs``, whole and without a shuffle, whose text has a language (is not ``und``)."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("string")
+    def lang_of(texts: pd.Series) -> pd.Series:
+        parts = [shared.value.predict(texts.iloc[a : a + 1000].tolist())[0] for a in range(0, len(texts), 1000)]
+        return pd.Series([x for p in parts for x in p], dtype="object")
+
+    return docs.where(lang_of("text") != "und")
