@@ -9,9 +9,11 @@ at some microseconds a byte, which is far over any budget for whole tables.
 ``remove_repeats`` therefore finds the same bytes without sorting suffixes. Every
 string of LENGTH bytes has an anchor, the GRAM of its bytes with the least hash, so
 equal strings have equal anchors at equal places, and neighbouring strings share
-them. Anchors that are nowhere repeated need no more work; those whose whole context
-is repeated are settled by its first place; only where contexts differ are the
-strings themselves compared, by 64-bit hashes.
+them. Strings that reach far to the right of their anchor, and those that reach far
+to its left, have some 60 bytes in common by which they are looked up: where those
+are nowhere repeated no more work is needed, where the whole context is repeated its
+first place settles it, and only where contexts differ are the strings themselves
+compared, by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -31,6 +33,7 @@ from .shared import mix, ranges, stage, utf8
 
 LENGTH = 100
 GRAM = 24
+HALF = (LENGTH - GRAM) // 2
 PIECE = 1 << 20
 CHUNK = 12 << 20
 BUCKET_ROWS = 900_000
@@ -158,7 +161,7 @@ class Rolling:
 
 
 def anchors(data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(gram hash, context hash, text, first start, last start) of each anchor of texts laid end to end."""
+    """(hash of common bytes, context hash, text, first start, last start) of each side of each anchor of texts laid end to end."""
     empty = np.zeros(0, np.int64)
     fit = np.maximum(0, sizes - LENGTH + 1)
     starts = np.cumsum(sizes) - sizes
@@ -182,8 +185,12 @@ def anchors(data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(p)) - 1
     a, lo, hi, text = at[first], p[first], p[last], text[first]
-    context = mix(roll.of(lo, hi + LENGTH) ^ mix(((a - lo) * 1000 + (hi - lo)).astype(np.uint64) + np.uint64(1)))
-    return h[a], context, text, lo - starts[text], hi - starts[text]
+    left, right = lo < a - HALF, hi >= a - HALF
+    common = np.concatenate((roll.of(a[left] - HALF - 1, a[left] + GRAM), roll.of(a[right], a[right] + LENGTH - HALF) ^ np.uint64(_BASE)))
+    lo, hi = np.concatenate((lo[left], np.maximum(lo, a - HALF)[right])), np.concatenate((np.minimum(hi, a - HALF - 1)[left], hi[right]))
+    a, text = np.concatenate((a[left], a[right])), np.concatenate((text[left], text[right]))
+    context = mix(roll.of(lo, hi + LENGTH) ^ mix(((a - lo) * 1000 + (hi - lo)).astype(np.uint64) + np.uint64(1))) >> np.uint64(16)
+    return mix(common), context, text, lo - starts[text], hi - starts[text]
 
 
 def _pieces(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
@@ -197,21 +204,24 @@ def _pieces(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
         yield a, len(sizes)
 
 
-def _texts(batches: Iterator[pa.RecordBatch], extra: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray], list]]:
-    """(ids, crc32 of texts, texts as bytes, values of a fourth column) of chunks of about CHUNK bytes."""
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray], list]]:
+    """(ids, crc32 of texts, texts as bytes, values of a fourth column, if any) of chunks of about CHUNK bytes."""
     ids: list[int] = []
     crcs: list[int] = []
     texts: list[np.ndarray] = []
     more: list = []
     total = 0
     for batch in batches:
-        data, offs = utf8(batch.column(2))
         ids += batch.column(0).to_pylist()
         crcs += batch.column(1).to_pylist()
-        more += batch.column(3).to_pylist() if extra else []
-        for k in range(batch.num_rows):
-            texts.append(data[offs[k] : offs[k + 1]])
-        total += len(data)
+        if batch.num_columns > 3:
+            more += batch.column(3).to_pylist()
+            own = [np.frombuffer(zlib.decompress(z), np.uint8) for z in batch.column(2).to_pylist()]
+        else:
+            data, offs = utf8(batch.column(2))
+            own = [data[offs[k] : offs[k + 1]] for k in range(batch.num_rows)]
+        texts += own
+        total += sum(map(len, own))
         if total >= CHUNK:
             yield np.array(ids, np.int64), np.array(crcs, np.int64), texts, more
             ids, crcs, texts, more, total = [], [], [], [], 0
@@ -219,6 +229,13 @@ def _texts(batches: Iterator[pa.RecordBatch], extra: bool = False) -> Iterator[t
         yield np.array(ids, np.int64), np.array(crcs, np.int64), texts, more
 
 
+def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as they go through an exchange."""
+    for batch in batches:
+        z = [zlib.compress(t, 1) for t in batch.column(2).cast(pa.binary()).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(z, pa.binary())], names=["id", "crc", "z"])
+
+
 def _first_of(keys: tuple[np.ndarray, ...], ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Order by keys, id and start; which begin a new key; which are at another place than the first of their key."""
     turn = np.lexsort((starts, ids, *reversed(keys)))
@@ -316,7 +333,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.crc32(text.cast("binary")).alias("crc"), text.alias("text"))
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
-    parts = max(1, -(-total // ((LENGTH - GRAM) // 2) // BUCKET_ROWS))
+    parts = max(1, -(-total // (GRAM * BUCKET_ROWS)))  # a side of an anchor for every 26 bytes
 
     def anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, crcs, texts, _ in _texts(batches):
@@ -358,10 +375,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     settled = stage(rows.mapInArrow(anchored, "part int, body binary").repartitionById(parts, "part").mapInArrow(settle, _ROWS), "repeat-anchors")
     open_ = settled.where("kind = 'open'").groupBy("id", "crc").agg(F.collect_list("body").alias("open"))
     wide = settled.where("kind = 'open'").agg(F.coalesce(F.sum(F.octet_length("body")), F.lit(0)).alias("n")).first()["n"] // 8
-    shares = max(1, -(-wide * (LENGTH - GRAM) // 2 // (2 * BUCKET_ROWS)))
+    shares = max(1, -(-wide * (HALF // 2) // BUCKET_ROWS))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, crcs, texts, runs in _texts(batches, True):
+        for ids, crcs, texts, runs in _texts(batches):
             sizes = np.array([len(t) for t in texts], np.int64)
             found = []
             for a, b in _pieces(sizes, PIECE):
@@ -393,16 +410,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             if later.any():
                 yield _by_doc("span", ids, crcs, *_runs(doc[turn][later], s[turn][later]))
 
-    asked = rows.join(open_, ["id", "crc"]).select("id", "crc", "text", "open")
+    squeezed = rows.mapInArrow(_squeeze, "id long, crc long, z binary")
+    asked = squeezed.join(open_, ["id", "crc"]).select("id", "crc", "z", "open")
     strings = stage(asked.mapInArrow(hashed, "part int, body binary").repartitionById(shares, "part").mapInArrow(compare, _ROWS), "repeat-strings")
     spans = settled.where("kind = 'span'").unionAll(strings).groupBy("id", "crc").agg(F.collect_list("body").alias("spans"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offs = utf8(batch.column(2))
             out: list[tuple] = []
-            for k, own in enumerate(batch.column(3).to_pylist()):
-                raw = data[offs[k] : offs[k + 1]]
+            for z, own in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                raw = np.frombuffer(zlib.decompress(z), np.uint8)
+                size = len(raw)
                 gone = runs = 0
                 if own:
                     lo, hi = np.frombuffer(b"".join(own), np.uint32).reshape(-1, 2).astype(np.int64).T
@@ -413,12 +431,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     gone, runs = int(covered.sum()), int(covered[0]) + int((covered[1:] & ~covered[:-1]).sum())
                     raw = raw[~covered]
                 kept = raw.tobytes()
-                out.append((int(offs[k + 1] - offs[k]), gone, runs, hashlib.sha256(kept).hexdigest(), kept if clean else None))
+                out.append((size, gone, runs, hashlib.sha256(kept).hexdigest(), kept if clean else None))
             cols = list(zip(*out, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *[pa.array(x, k) for x, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True)]],
                 names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
             )
 
-    done = rows.join(spans, ["id", "crc"], "left").select("id", "crc", "text", "spans").mapInArrow(cut, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    done = squeezed.join(spans, ["id", "crc"], "left").select("id", "crc", "z", "spans").mapInArrow(cut, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return done.select(F.when(F.col("id") != NO_ID, F.col("id")).alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if clean else []))
