@@ -37,6 +37,7 @@ HALF = (LENGTH - GRAM) // 2
 PIECE = 1 << 20
 CHUNK = 12 << 20
 BUCKET_ROWS = 900_000
+HOME_BYTES = 40_000_000  # of text whose findings meet in one task
 NO_ID = -(1 << 63)
 _PLACE = np.uint64((1 << 30) - 1)
 _BASE = 0x5851F42D4C957F2D
@@ -256,16 +257,38 @@ def _first_of(keys: tuple[np.ndarray, ...], ids: np.ndarray, starts: np.ndarray)
 _ROWS = T.StructType([T.StructField("id", T.LongType()), T.StructField("crc", T.LongType()), T.StructField("kind", T.StringType()), T.StructField("body", T.BinaryType())])
 
 
-def _by_doc(kind: str, ids: np.ndarray, crcs: np.ndarray, doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.RecordBatch:
-    """A row per document with its (lo, hi) pairs."""
-    turn = np.argsort(doc, kind="stable")
-    doc, pairs = doc[turn], np.stack((lo[turn], hi[turn]), axis=1).astype(np.uint32)
-    cut = np.flatnonzero(np.diff(doc, prepend=-1))
-    ends = np.append(cut[1:], len(doc))
-    return pa.RecordBatch.from_arrays(
-        [pa.array(ids[doc[cut]]), pa.array(crcs[doc[cut]]), pa.array([kind] * len(cut), pa.string()), pa.array([pairs[a:b].tobytes() for a, b in zip(cut.tolist(), ends.tolist(), strict=True)], pa.binary())],
-        names=_ROWS.names,
-    )
+_BODIES = "part int, body binary"
+
+
+def _found(kind: str, parts: int, ids: np.ndarray, crcs: np.ndarray, doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.RecordBatch:
+    """(lo, hi) pairs on their way to their documents, packed by ranges of hashed ids."""
+    home = (mix((ids ^ crcs).astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+    return _deal(home[doc], parts, ids, crcs, doc, lo.astype(np.uint32), hi.astype(np.uint32), mark=kind[:1].encode())
+
+
+def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per document and kind with its pairs."""
+    held: dict[bytes, list[bytes]] = {b"s": [], b"o": []}
+    for batch in batches:
+        for body in batch.column(1).to_pylist():
+            held[body[:1]].append(body)
+    for kind, bodies in held.items():
+        rows = [np.zeros((0, 4), np.int64)]
+        for body in bodies:
+            step, crc, doc, lo, hi = _unpack(body[1:], np.int64, np.uint32, np.uint32, np.uint32, np.uint32)
+            rows.append(np.stack((np.cumsum(step)[doc], crc[doc].astype(np.int64), lo.astype(np.int64), hi.astype(np.int64)), axis=1))
+        ids, crcs, lo, hi = np.concatenate(rows).T
+        turn = np.lexsort((lo, crcs, ids))
+        ids, crcs, pairs = ids[turn], crcs[turn], np.stack((lo[turn], hi[turn]), axis=1).astype(np.uint32)
+        new = np.ones(len(ids), bool)
+        new[1:] = (ids[1:] != ids[:-1]) | (crcs[1:] != crcs[:-1])
+        cut = np.flatnonzero(new)
+        ends = np.append(cut[1:], len(ids))
+        for a in range(0, len(cut), 1000):
+            own, stop = cut[a : a + 1000], ends[a : a + 1000]
+            name = "span" if kind == b"s" else "open"
+            body = [pairs[x:y].tobytes() for x, y in zip(own.tolist(), stop.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(crcs[own]), pa.array([name] * len(own), pa.string()), pa.array(body, pa.binary())], names=_ROWS.names)
 
 
 def _runs(doc: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -278,7 +301,7 @@ def _runs(doc: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return doc[first], starts[first], starts[np.append(first[1:], len(doc)) - 1] if len(first) else starts[:0]
 
 
-def _deal(part_of: np.ndarray, parts: int, ids: np.ndarray, crcs: np.ndarray, doc: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
+def _deal(part_of: np.ndarray, parts: int, ids: np.ndarray, crcs: np.ndarray, doc: np.ndarray, *columns: np.ndarray, mark: bytes = b"r") -> pa.RecordBatch:
     """Rows by bucket, packed with the documents they are in."""
     turn = np.argsort(part_of, kind="stable")
     cut = np.searchsorted(part_of[turn], np.arange(parts + 1))
@@ -288,7 +311,7 @@ def _deal(part_of: np.ndarray, parts: int, ids: np.ndarray, crcs: np.ndarray, do
         if len(own):
             there, at = np.unique(doc[own], return_inverse=True)
             numbers.append(p)
-            bodies.append(b"r" + _pack(np.diff(ids[there], prepend=0), crcs[there].astype(np.uint32), at.astype(np.uint32), *[c[own] for c in columns]))
+            bodies.append(mark + _pack(np.diff(ids[there], prepend=0), crcs[there].astype(np.uint32), at.astype(np.uint32), *[c[own] for c in columns]))
     return pa.RecordBatch.from_arrays([pa.array(np.array(numbers, np.int32)), pa.array(bodies, pa.binary())], names=["part", "body"])
 
 
@@ -333,6 +356,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.crc32(text.cast("binary")).alias("crc"), text.alias("text"))
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
+    homes = max(1, -(-total // HOME_BYTES))
     parts = max(1, -(-total // (GRAM * BUCKET_ROWS)))  # a side of an anchor for every 26 bytes
 
     def anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -349,7 +373,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             turn, new, later = _first_of((g, c), ids[t], lo)
             g, c, t, lo, hi = g[turn], c[turn], t[turn], lo[turn], hi[turn]
             if later.any():
-                yield _pass_on(_by_doc("span", ids, crcs, t[later], lo[later], hi[later]), parts)
+                yield _pass_on(_found("span", homes, ids, crcs, t[later], lo[later], hi[later]), parts)
             # equal rows are one place: the first of them stands for all
             g, c, t, lo, hi = g[new], c[new], t[new], lo[new], hi[new]
             yield _deal((mix(g ^ np.uint64(77)) % np.uint64(parts)).astype(np.int64), parts, ids, crcs, t, g, c, lo.astype(np.uint32), (hi - lo).astype(np.uint8))
@@ -370,9 +394,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             open_ = mixed[group]
             for kind, pick in (("span", later & ~open_), ("open", open_)):
                 if pick.any():
-                    yield _by_doc(kind, ids, crcs, doc[pick], lo[pick], hi[pick])
+                    yield _found(kind, homes, ids, crcs, doc[pick], lo[pick], hi[pick])
 
-    settled = stage(rows.mapInArrow(anchored, "part int, body binary").repartitionById(parts, "part").mapInArrow(settle, _ROWS), "repeat-anchors")
+    settled = stage(rows.mapInArrow(anchored, _BODIES).repartitionById(parts, "part").mapInArrow(settle, _BODIES).repartitionById(homes, "part").mapInArrow(_by_document, _ROWS), "repeat-anchors")
     open_ = settled.where("kind = 'open'").groupBy("id", "crc").agg(F.collect_list("body").alias("open"))
     wide = settled.where("kind = 'open'").agg(F.coalesce(F.sum(F.octet_length("body")), F.lit(0)).alias("n")).first()["n"] // 8
     shares = max(1, -(-wide * (HALF // 2) // BUCKET_ROWS))
@@ -395,7 +419,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             turn, new, later = _first_of((w,), ids[t], s)
             w, t, s = w[turn], t[turn], s[turn]
             if later.any():
-                yield _pass_on(_by_doc("span", ids, crcs, *_runs(t[later], s[later])), shares)
+                yield _pass_on(_found("span", homes, ids, crcs, *_runs(t[later], s[later])), shares)
             w, t, s = w[new], t[new], s[new]
             yield _deal((mix(w ^ np.uint64(78)) % np.uint64(shares)).astype(np.int64), shares, ids, crcs, t, w, s.astype(np.uint32))
 
@@ -408,11 +432,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             s = s.astype(np.int64)
             turn, _, later = _first_of((w,), ids[doc], s)
             if later.any():
-                yield _by_doc("span", ids, crcs, *_runs(doc[turn][later], s[turn][later]))
+                yield _found("span", homes, ids, crcs, *_runs(doc[turn][later], s[turn][later]))
 
     squeezed = rows.mapInArrow(_squeeze, "id long, crc long, z binary")
     asked = squeezed.join(open_, ["id", "crc"]).select("id", "crc", "z", "open")
-    strings = stage(asked.mapInArrow(hashed, "part int, body binary").repartitionById(shares, "part").mapInArrow(compare, _ROWS), "repeat-strings")
+    strings = stage(asked.mapInArrow(hashed, _BODIES).repartitionById(shares, "part").mapInArrow(compare, _BODIES).repartitionById(homes, "part").mapInArrow(_by_document, _ROWS), "repeat-strings")
     spans = settled.where("kind = 'span'").unionAll(strings).groupBy("id", "crc").agg(F.collect_list("body").alias("spans"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
