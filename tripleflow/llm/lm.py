@@ -22,15 +22,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stage, utf8
+from .shared import mix, stage, utf8
 
 VOCAB_SHARE = 200_000
 HEAVY_SHARE = 500
 PRIOR = 50.0  # words of unigram evidence that every context starts with
 ADD = 0.5  # added to every unigram count
-CHUNK_WORDS = 1_000_000
-BUCKET_WORDS = 2_500_000
-FLUSH = 300_000
+CHUNK_WORDS = 700_000
+BUCKET_WORDS = 2_000_000
+HOME_WORDS = 3_000_000  # of the texts whose sums meet in one task
+FLUSH = 200_000
 NO_ID = -(1 << 63)
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _ODD = 0x9E3779B97F4A7C15
@@ -220,6 +221,7 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, id_col: str = "
     total = int(models.totals.sum())
     top = max(models.bits - 32, int(np.ceil(np.log2(max(1.0, total / BUCKET_WORDS)))), 0)
     bits = max(models.bits, top)
+    homes = max(1, -(-total // HOME_WORDS))
     low, mask = bits - top, (1 << bits) - 1
     odd = _ODD & mask | 1
     back = pow(odd, -1, 1 << bits)
@@ -261,7 +263,12 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, id_col: str = "
         ids, kinds, keys, docs_, at = [], [], [], [], 0
 
         def out(i: np.ndarray, n: np.ndarray, t: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in (i, n, t, b)], names=["id", "n", "t", "b"])
+            home = (mix(i.astype(np.uint64)) % np.uint64(homes)).astype(np.int64)
+            turn = np.lexsort((i, home))
+            cut = np.searchsorted(home[turn], np.arange(homes + 1))
+            some = np.flatnonzero(np.diff(cut))
+            bodies = [_pack(np.diff(i[x], prepend=0), n[x], t[x], b[x]) for x in (turn[cut[k] : cut[k + 1]] for k in some.tolist())]
+            return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(bodies, pa.binary())], names=["part", "body"])
 
         for batch in batches:
             for body in batch.column(1).to_pylist():
@@ -298,8 +305,17 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, id_col: str = "
         mine = kind < 2
         yield out(ids_[mine], np.zeros(int(mine.sum()), np.int64), t[mine], b[mine])
 
-    dealt = both.mapInArrow(deal, "part int, body binary").repartitionById(1 << top, "part")
-    sums = dealt.mapInArrow(score, "id long, n long, t double, b double").groupBy("id").agg(F.sum("n").alias("n"), F.sum("t").alias("t"), F.sum("b").alias("b"))
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [_unpack(body, np.int64, np.int64, np.float64, np.float64) for batch in batches for body in batch.column(1).to_pylist()]
+        if held:
+            ids, own = np.unique(np.concatenate([np.cumsum(x[0]) for x in held]), return_inverse=True)
+            n, t, b = (np.bincount(own, np.concatenate([x[k] for x in held])) for k in (1, 2, 3))
+            for k in range(0, len(ids), 10_000):
+                at = slice(k, k + 10_000)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(n[at].astype(np.int64)), pa.array(t[at]), pa.array(b[at])], names=["id", "n", "t", "b"])
+
+    scored = both.mapInArrow(deal, "part int, body binary").repartitionById(1 << top, "part").mapInArrow(score, "part int, body binary")
+    sums = scored.repartitionById(homes, "part").mapInArrow(add, "id long, n long, t double, b double")
     some = F.col("n") > 0
     return sums.select(
         F.when(F.col("id") != NO_ID, F.col("id")).alias(id_col),
