@@ -4,7 +4,9 @@ Documents with equal shingle sets are one class from the start. Classes whose
 signatures share a band meet in a bucket; in every bucket a few leaders are compared
 with all other members on full sets, so a bucket of n members costs n comparisons,
 not n squared. Rounds with more leaders follow only for buckets whose members are
-not all in one component yet, until no pair of different components is untested.
+not all in one component yet, until no pair of different components is untested; in
+these, a pair must also share one of the rarest shingles of both (the prefix that
+similar sets must have in common), which documents that are merely alike do not.
 """
 
 from __future__ import annotations
@@ -216,6 +218,41 @@ def verified(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return edges.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long").distinct()
 
 
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each shingle of each set."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, 200):
+            part = batch.slice(k, 200)
+            own = [np.frombuffer(x, np.int64) for x in part.column(1).to_pylist()]
+            sizes = np.array([len(x) for x in own], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), sizes)), pa.array(np.concatenate(own))], names=["rep", "token"])
+
+
+def prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """(rep, prefix): the rarest shingles of each set, so many that sets as similar as ``percent`` share one."""
+    each = sets.select("rep", "shingles").mapInArrow(_spread, "rep long, token long")
+    common = each.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    ranked = each.join(common, "token").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("all"))
+    n = F.size("all")
+    length = (n - F.ceil(n * percent / 100) + 1).cast("int")
+    return ranked.select("rep", F.transform(F.slice("all", F.lit(1), length), lambda x: x["token"]).alias("prefix"))
+
+
+def with_prefixes(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The members of open buckets that share a prefix shingle with another component, each with its prefix."""
+    own = open_.select("rep", "component").distinct()
+    known = stage(prefixes(sets.join(own.select("rep"), "rep", "left_semi"), percent), "near-prefixes")
+    tokens = stage(known.join(own, "rep").select("rep", "component", F.explode("prefix").alias("token")), "near-tokens")
+    between = tokens.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
+    live = tokens.join(between, "token", "left_semi").select("rep").distinct()
+    return stage(open_.drop("prefix").join(live, "rep", "left_semi").join(known, "rep"), "near-live")
+
+
+def _apart(members: DataFrame) -> DataFrame:
+    """Buckets whose members are in more than one component."""
+    return members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Components of documents whose 5-word shingle sets have a Jaccard similarity of ``percent`` / 100 or more.
 
@@ -237,27 +274,30 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     wanted = stage(members.select("rep").distinct(), "near-wanted")
     sets = stage(texts.join(wanted, texts["doc_id"] == wanted["rep"]).select("doc_id", "text").mapInArrow(_expand, _SETS).join(classes.select("f1", "f2"), ["f1", "f2"], "left_semi").select("rep", "shingles").distinct(), "near-sets")
     labels = links = None
-    open_, leaders = members.withColumn("component", F.col("rep")), 1
+    open_, leaders = members.select("key", "rep", "n", "weight", F.col("rep").alias("component"), F.lit(None).cast("array<long>").alias("prefix")), 1
     while True:
         # the most connected members lead: an original rather than its copies
         rank = Window.partitionBy("key").orderBy(F.desc("weight"), "rep")
         lead = open_.withColumn("place", F.row_number().over(rank)).where(F.col("place") <= leaders)
-        lead = stage(lead.select("key", F.col("rep").alias("leader"), F.col("n").alias("leader_n"), F.col("component").alias("leader_component")), "near-leaders")
-        pairs = open_.join(lead, "key").where(
-            (F.col("component") != F.col("leader_component")) & (100 * F.least("n", "leader_n") >= percent * F.greatest("n", "leader_n"))
-        )
+        lead = stage(lead.select("key", F.col("rep").alias("leader"), F.col("n").alias("leader_n"), F.col("component").alias("leader_component"), F.col("prefix").alias("leader_prefix")), "near-leaders")
+        apt = (F.col("component") != F.col("leader_component")) & (100 * F.least("n", "leader_n") >= percent * F.greatest("n", "leader_n"))
+        if leaders > 1:
+            apt &= F.arrays_overlap("prefix", "leader_prefix")
+        pairs = open_.join(lead, "key").where(apt)
         edges = stage(pairs.select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct(), "near-pairs")
         new = stage(verified(edges, sets, percent), "near-links")
         if labels is None or not new.isEmpty():
             links = new if links is None else links.unionAll(new)
             labels = components(links)
         rest = open_.drop("component").join(lead.select("key", F.col("leader").alias("rep")), ["key", "rep"], "left_anti")
-        rest = rest.join(labels, F.col("rep") == F.col("node"), "left").select("key", "rep", "n", "weight", F.coalesce("component", "rep").alias("component"))
+        rest = rest.join(labels, F.col("rep") == F.col("node"), "left").select("key", "rep", "n", "weight", F.coalesce("component", "rep").alias("component"), "prefix")
         rest = stage(rest, "near-rest")
-        apart = stage(rest.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key"), "near-apart")
+        if leaders == 1:
+            rest = with_prefixes(rest.join(_apart(rest), "key"), sets, percent)
+        apart = stage(_apart(rest), "near-apart")
         if apart.isEmpty():
             break
-        open_, leaders = stage(rest.join(apart, "key"), "near-open"), leaders * 2
+        open_, leaders = stage(rest.join(apart, "key"), "near-open"), leaders * 8
     homes = classes.join(labels, F.col("rep") == F.col("node"), "left").select("f1", "f2", "rep", "copies", F.coalesce("component", "rep").alias("component"))
     moved = stage(homes.where("copies > 1 or component <> rep").select("f1", "f2", "component"), "near-homes")
     return signed.join(moved, ["f1", "f2"], "left").select(
