@@ -5,8 +5,8 @@ signatures share a band meet in a bucket; in every bucket a few leaders are comp
 with all other members on full sets, so a bucket of n members costs n comparisons,
 not n squared. Rounds with more leaders follow only for buckets whose members are
 not all in one component yet, until no pair of different components is untested; in
-these, a pair must also share one of the rarest shingles of both (the prefix that
-similar sets must have in common), which documents that are merely alike do not.
+these, a pair must also share SHARED of the rarest shingles of both: the prefixes of
+similar sets have so many in common, those of documents that are merely alike do not.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ from .shared import mix, ranges, stage, utf8
 SHINGLE = 5
 SLOTS = 100
 BANDS = 20  # of SLOTS / BANDS slots: a pair at 0.85 shares none with probability 8e-6
+SHARED = 128
 BATCH_WORDS = 250_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -229,13 +230,21 @@ def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """(rep, prefix): the rarest shingles of each set, so many that sets as similar as ``percent`` share one."""
+    """(rep, prefix, need): the rarest shingles of each set, so many that sets as similar as ``percent`` share the smaller ``need``.
+
+    Of the shingles that two such sets share, at least ceil(percent / 100 * n) of either,
+    all but the first ``need`` come later; so these lie in the first n - ceil(...) + need.
+    """
     each = sets.select("rep", "shingles").mapInArrow(_spread, "rep long, token long")
     common = each.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     ranked = each.join(common, "token").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("all"))
     n = F.size("all")
-    length = (n - F.ceil(n * percent / 100) + 1).cast("int")
-    return ranked.select("rep", F.transform(F.slice("all", F.lit(1), length), lambda x: x["token"]).alias("prefix"))
+    least = F.ceil(n * percent / 100)
+    return ranked.select(
+        "rep",
+        F.transform(F.slice("all", F.lit(1), (n - least + F.least(least, F.lit(SHARED))).cast("int")), lambda x: x["token"]).alias("prefix"),
+        F.least(least, F.lit(SHARED)).cast("int").alias("need"),
+    )
 
 
 def with_prefixes(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -245,7 +254,7 @@ def with_prefixes(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     tokens = stage(known.join(own, "rep").select("rep", "component", F.explode("prefix").alias("token")), "near-tokens")
     between = tokens.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
     live = tokens.join(between, "token", "left_semi").select("rep").distinct()
-    return stage(open_.drop("prefix").join(live, "rep", "left_semi").join(known, "rep"), "near-live")
+    return stage(open_.drop("prefix", "need").join(live, "rep", "left_semi").join(known, "rep"), "near-live")
 
 
 def _apart(members: DataFrame) -> DataFrame:
@@ -274,15 +283,15 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     wanted = stage(members.select("rep").distinct(), "near-wanted")
     sets = stage(texts.join(wanted, texts["doc_id"] == wanted["rep"]).select("doc_id", "text").mapInArrow(_expand, _SETS).join(classes.select("f1", "f2"), ["f1", "f2"], "left_semi").select("rep", "shingles").distinct(), "near-sets")
     labels = links = None
-    open_, leaders = members.select("key", "rep", "n", "weight", F.col("rep").alias("component"), F.lit(None).cast("array<long>").alias("prefix")), 1
+    open_, leaders = members.select("key", "rep", "n", "weight", F.col("rep").alias("component"), F.lit(None).cast("array<long>").alias("prefix"), F.lit(None).cast("int").alias("need")), 1
     while True:
         # the most connected members lead: an original rather than its copies
         rank = Window.partitionBy("key").orderBy(F.desc("weight"), "rep")
         lead = open_.withColumn("place", F.row_number().over(rank)).where(F.col("place") <= leaders)
-        lead = stage(lead.select("key", F.col("rep").alias("leader"), F.col("n").alias("leader_n"), F.col("component").alias("leader_component"), F.col("prefix").alias("leader_prefix")), "near-leaders")
+        lead = stage(lead.select("key", F.col("rep").alias("leader"), F.col("n").alias("leader_n"), F.col("component").alias("leader_component"), F.col("prefix").alias("leader_prefix"), F.col("need").alias("leader_need")), "near-leaders")
         apt = (F.col("component") != F.col("leader_component")) & (100 * F.least("n", "leader_n") >= percent * F.greatest("n", "leader_n"))
         if leaders > 1:
-            apt &= F.arrays_overlap("prefix", "leader_prefix")
+            apt &= F.size(F.array_intersect("prefix", "leader_prefix")) >= F.least("need", "leader_need")
         pairs = open_.join(lead, "key").where(apt)
         edges = stage(pairs.select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct(), "near-pairs")
         new = stage(verified(edges, sets, percent), "near-links")
@@ -290,7 +299,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
             links = new if links is None else links.unionAll(new)
             labels = components(links)
         rest = open_.drop("component").join(lead.select("key", F.col("leader").alias("rep")), ["key", "rep"], "left_anti")
-        rest = rest.join(labels, F.col("rep") == F.col("node"), "left").select("key", "rep", "n", "weight", F.coalesce("component", "rep").alias("component"), "prefix")
+        rest = rest.join(labels, F.col("rep") == F.col("node"), "left").select("key", "rep", "n", "weight", F.coalesce("component", "rep").alias("component"), "prefix", "need")
         rest = stage(rest, "near-rest")
         if leaders == 1:
             rest = with_prefixes(rest.join(_apart(rest), "key"), sets, percent)
