@@ -282,6 +282,26 @@ def test_disguises_are_undone():
     assert toxicity.words_and_odd("You s.t.u.p.i.d, stuuupid 1d10t!")[1] >= {"s.t.u.p.i.d", "stuuupid", "1d10t"}
 
 
+def test_long_tokens_are_read_whole():
+    words = Counter({"stupid": 300, "idiot": 300, "hello": 200, "world": 200, "nothing": 100, "you": 300})
+    scorer = toxicity.Scorer({"wstupid": 5.0, "widiot": 5.0}, -3.0, toxicity.CharModel(words))
+    plain = scorer.score("hello world")
+    filler = "/".join(["hello", "world", "nothing"] * 12)
+    spaced = "  ".join(" ".join(w) for w in ["hello", "world", "nothing"] * 6)
+    for text in (
+        "hello/world,nothing.stupid/hello,world",
+        "hello/world,nothing.1d10t/hello,world",
+        f"{filler}/stup1d/{filler}",
+        "世界，" * 30 + "stupid，" + "世界，" * 30,
+        "stu" + "u" * 200 + "pid",
+        "y o u s t u p i d",
+        "y o u  s t u p i d",
+        f"{spaced}  s t u p i d  {spaced}",
+    ):
+        assert scorer.score(text) > plain, text
+    assert scorer.score(filler) == scorer.score(spaced) == plain
+
+
 def test_toxicity(spark, empty, odd):
     r = random.Random(1)
     plain = ["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(80)]
