@@ -215,6 +215,20 @@ def test_contamination_in_blocks(spark, docs, rows, monkeypatch):
     assert got == {k: v[:3] for k, v in brute_contamination([(r[0], r[1]) for r in rows], items).items()}
 
 
+def test_blocks_give_odd_rows_what_one_block_gives(spark, odd, monkeypatch):
+    items = [(1, "three four five"), (1, "ten one two"), (2, "other one"), (None, "seven eight"), (3, "no such words"), (4, "eight nine ten one two three four five six")]
+    benchmark = spark.createDataFrame(items, "item_id long, text string").coalesce(1)
+
+    def found():
+        rows = decontaminate.find_contamination(odd, benchmark, clean=True).collect()
+        return Counter((r.doc_id, r.n_words, tuple(r.item_ids), tuple(map(tuple, r.spans)), r.clean_text) for r in rows)
+
+    one = found()
+    monkeypatch.setattr(decontaminate.benchmark_blocks, "__defaults__", (3,))
+    assert sum(one.values()) == 7 and len(list(decontaminate.benchmark_blocks(benchmark))) > 2
+    assert found() == one
+
+
 def test_fm_index_counts_and_locates():
     r = np.random.default_rng(3)
     seq = np.concatenate(([0], r.integers(1, 4, 300), [0], r.integers(1, 4, 50), [0])).astype(np.int32)

@@ -14,7 +14,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import types as T
 
 from .shared import ranges, utf8
@@ -232,6 +233,7 @@ _OUT = T.StructType(
         T.StructField("item_ids", T.ArrayType(T.StringType())),
         T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType()))),
         T.StructField("clean_text", T.StringType()),
+        T.StructField("text_key", T.StringType()),
     ]
 )
 
@@ -269,28 +271,35 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, clean: bool = Fals
 
     The benchmark must be the small side; it goes to the executors in blocks of
     BLOCK_WORDS words. With more than one block, each document gets a row per block:
-    merge_blocks() unites them.
+    merge_blocks() unites them, with the same result as one block has.
     """
-    spark, parts = docs.sparkSession, []
-    for windows in benchmark_blocks(benchmark):
-        parts.append(_search_block(docs, windows, clean and not parts, id_col))
-    if not parts:
-        parts.append(_search_block(docs, Windows([]), False, id_col))
-    del spark
-    return parts[0] if len(parts) == 1 else merge_blocks(parts, docs, clean, id_col)
+    share = docs.sparkSession.sparkContext.broadcast
+    blocks = [share(windows) for windows in benchmark_blocks(benchmark)] or [share(Windows([]))]
+    if len(blocks) == 1:
+        return _search_block(docs, blocks[0], clean, id_col).drop("text_key")
+    return merge_blocks([_search_block(docs, b, False, id_col, keyed=True) for b in blocks], docs, clean, id_col)
+
+
+def _text_key() -> Column:
+    """Of equal texts only; a null text is an empty one."""
+    from pyspark.sql import functions as F
+
+    return F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
 
 
 def merge_blocks(parts: list[DataFrame], docs: DataFrame, clean: bool, id_col: str) -> DataFrame:
-    """Unite the findings of several blocks of the benchmark; ids are taken to be unique there."""
+    """Unite the findings of several blocks of the benchmark for each row of ``docs``; rows of equal id and text have equal ones."""
     from functools import reduce
 
     from pyspark.sql import functions as F
 
-    both = reduce(DataFrame.unionAll, parts).groupBy("doc_id").agg(
-        F.max("n_words").alias("n_words"),
-        F.array_distinct(F.flatten(F.collect_list("item_ids"))).alias("item_ids"),
-        F.flatten(F.collect_list("spans")).alias("raw_spans"),
+    found = [p.withColumn("block", F.lit(k)) for k, p in enumerate(parts)]
+    # a set: equal rows have equal findings in a block
+    both = reduce(DataFrame.unionAll, found).groupBy(F.col("doc_id").alias("key_id"), "text_key").agg(
+        F.first("n_words").alias("n_words"),
+        F.array_sort(F.collect_set(F.struct("block", "item_ids", "spans"))).alias("found"),
     )
+    both = both.select("key_id", "text_key", "n_words", F.flatten("found.item_ids").alias("item_ids"), F.flatten("found.spans").alias("raw_spans"))
 
     @F.pandas_udf("struct<spans: array<array<long>>, clean_text: string>")
     def unite(raw, text):  # noqa: ANN001, ANN202
@@ -308,51 +317,53 @@ def merge_blocks(parts: list[DataFrame], docs: DataFrame, clean: bool, id_col: s
             texts.append(without(t, words_of(t), merged) if merged and t is not None else None)
         return pd.DataFrame({"spans": spans, "clean_text": texts})
 
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col("text") if clean else F.lit(None).cast("string").alias("text"))
-    out = both.join(texts, "doc_id").withColumn("u", unite("raw_spans", "text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), _text_key().alias("row_text_key"), F.col("text") if clean else F.lit(None).cast("string").alias("text"))
+    out = rows.join(both, F.col("doc_id").eqNullSafe(F.col("key_id")) & (F.col("row_text_key") == F.col("text_key"))).withColumn("u", unite("raw_spans", "text"))
     return out.select("doc_id", "n_words", "item_ids", "u.spans", "u.clean_text")
 
 
-def _search_block(docs: DataFrame, windows: Windows, clean: bool, id_col: str) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(windows)
+def _search_block(docs: DataFrame, shared: Broadcast, clean: bool, id_col: str, keyed: bool = False) -> DataFrame:
+    """Findings of a block; text_key is null unless ``keyed``."""
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         ids: list[int] = []
+        keys: list[str | None] = []
         texts: list[bytes] = []
         words: list[list[bytes]] = []
         count = 0
 
         def flush() -> pa.RecordBatch:
             first, hit, found = own.search(words)
-            cols: list[list] = [[], [], [], [], []]
+            cols: list[list] = [[], [], [], [], [], []]
             for k, name in enumerate(ids):
                 a, b = int(first[k]), int(first[k + 1])
                 spans = _spans(hit[a:b]) if found[k] else []
-                row = (name, b - a, [own.names[i] for i in found[k]], spans, without(texts[k].decode(), words[k], spans) if clean and spans else None)
+                row = (name, b - a, [own.names[i] for i in found[k]], spans, without(texts[k].decode(), words[k], spans) if clean and spans else None, keys[k])
                 for c, v in zip(cols, row, strict=True):
                     c.append(v)
-            kinds = [pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.list_(pa.int64())), pa.string()]
+            kinds = [pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.list_(pa.int64())), pa.string(), pa.string()]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=_OUT.names)
 
         for batch in batches:
             data, offs = utf8(batch.column(1))
             raw = data.tobytes()
-            for k, name in enumerate(batch.column(0).to_pylist()):
+            for k, (name, key) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
                 text = raw[offs[k] : offs[k + 1]]
                 ids.append(name)
+                keys.append(key)
                 texts.append(text if clean else b"")
                 words.append(text.translate(_FOLD).split())
                 count += len(words[-1])
                 if count >= SHARD_WORDS:
                     yield flush()
-                    ids, texts, words, count = [], [], [], 0
+                    ids, keys, texts, words, count = [], [], [], [], 0
         if ids:
             yield flush()
 
     from pyspark.sql import functions as F
 
-    return docs.select(F.col(id_col).cast("long"), "text").mapInArrow(shards, _OUT)
+    return docs.select(F.col(id_col).cast("long"), "text", (_text_key() if keyed else F.lit(None).cast("string")).alias("key")).mapInArrow(shards, _OUT)
 
 
 def digest(found: DataFrame) -> DataFrame:
