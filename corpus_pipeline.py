@@ -1,7 +1,8 @@
 """From raw documents to a shard manifest: five stages, each over all that the one before kept.
 
 1. language: rows without an identified language go.
-2. near_duplicates: of every group of near copies the smallest id stays.
+2. near_duplicates: of every group of near copies (shingle sets similar by 0.8 or more)
+   the smallest id stays.
 3. decontaminate: documents with two or more benchmark items go; what remains of a
    single item is cut out of the text.
 4. mix: sources are brought to their target weights; a document is there as often as
@@ -22,6 +23,7 @@ from tripleflow.llm import decontaminate, language, mixing, near_dup, sharding
 from tripleflow.llm.shared import stage, table
 
 SHARDS = 8
+SIMILAR = 80  # percent
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -33,7 +35,7 @@ def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    copies = near_dup.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
+    copies = near_dup.near_duplicates(docs, percent=SIMILAR).where(~F.col("kept")).select("doc_id").distinct()
     return docs.join(copies, "doc_id", "left_anti").select(docs.columns)
 
 

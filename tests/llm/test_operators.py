@@ -508,3 +508,17 @@ def test_pipeline(spark, tmp_path):
     assert set(mixed.groupBy("doc_id").count().agg(F.max("count")).first()) <= {1, 2}
     done = corpus_pipeline.run(spark, str(tmp_path))
     assert done.count() == mixed.count() and done.agg(F.max("shard")).first()[0] <= 7
+
+
+def test_pipeline_takes_near_copies_from_0_8(spark):
+    import corpus_pipeline
+
+    # texts of 100 shingles; a changed last word costs one, so k changed at the end share 100 - k of 100 + k
+    rows, expected = [], {}
+    for k, similar in ((8, True), (10, True), (11, True), (12, False), (14, False)):
+        own = [f"t{k}w{j}" for j in range(104)]
+        near = own[:-k] + [f"t{k}n{j}" for j in range(k)]
+        rows += [(10 * k, " ".join(own), "aa", "s1"), (10 * k + 1, " ".join(near), "aa", "s1")]
+        expected |= {10 * k: True, 10 * k + 1: not similar}
+    kept = {r.doc_id for r in corpus_pipeline.keep_one_of_each_group(spark, frame(spark, rows), "").collect()}
+    assert kept == {i for i, stays in expected.items() if stays}

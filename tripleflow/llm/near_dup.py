@@ -11,7 +11,7 @@ similar sets have so many in common, those of documents that are merely alike do
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import hashlib
 
@@ -27,6 +27,7 @@ from .shared import mix, ranges, stage, utf8
 SHINGLE = 5
 SLOTS = 100
 BANDS = 20  # of SLOTS / BANDS slots: a pair at 0.85 shares none with probability 8e-6
+LOW_BANDS = 25  # below 0.85: a pair at 0.8 shares none with probability 2e-6
 SHARED = 128
 BATCH_WORDS = 250_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -150,17 +151,20 @@ def _fingerprints(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.frombuffer(raw, np.int64).reshape(-1, 2)
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known = WordHashes()
-    for ids, texts in _batches(batches):
-        hashes, counts = shingle_sets(texts, known)
-        keys = band_keys(super_minhash(hashes, counts))
-        marks = _fingerprints(hashes, counts)
-        offsets = np.arange(len(texts) + 1, dtype=np.int32) * BANDS
-        yield pa.RecordBatch.from_arrays(
-            [ids, pa.array(counts.astype(np.int64)), pa.array(marks[:, 0].copy()), pa.array(marks[:, 1].copy()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel()))],
-            names=_SIGNED.names,
-        )
+def _sign(bands: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
+        for ids, texts in _batches(batches):
+            hashes, counts = shingle_sets(texts, known)
+            keys = band_keys(super_minhash(hashes, counts), bands)
+            marks = _fingerprints(hashes, counts)
+            offsets = np.arange(len(texts) + 1, dtype=np.int32) * bands
+            yield pa.RecordBatch.from_arrays(
+                [ids, pa.array(counts.astype(np.int64)), pa.array(marks[:, 0].copy()), pa.array(marks[:, 1].copy()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel()))],
+                names=_SIGNED.names,
+            )
+
+    return sign
 
 
 def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,7 +276,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     (smallest id reachable), kept (doc_id = component_id).
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = stage(texts.mapInArrow(_sign, _SIGNED), "near-signed")
+    signed = stage(texts.mapInArrow(_sign(BANDS if percent >= 85 else LOW_BANDS), _SIGNED), "near-signed")
     some = signed.where("n > 0")
     classes = stage(some.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("copies")), "near-classes")
     rows = classes.where(F.col("rep").isNotNull()).select("rep", "n", F.explode("bands").alias("key"))
