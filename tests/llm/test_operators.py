@@ -294,6 +294,71 @@ def test_disguises_are_undone():
     for token, word in {"stup1d": "stupid", "s t u p i d": "stupid", "1d10t": "idiot", "i.d.i.o.t": "idiot", "stuuuupid": "stupid", "$tupid": "stupid", "idi0t": "idiot", "h3ll0": "hello"}.items():
         assert model.decode(token) == word
     assert toxicity.words_and_odd("You s.t.u.p.i.d, stuuupid 1d10t!")[1] >= {"s.t.u.p.i.d", "stuuupid", "1d10t"}
+    assert toxicity.words_and_odd("an i   d   i   o   t or iidiioot")[1] >= {"i   d   i   o   t", "iidiioot"}
+
+
+def brute_viterbi(words, token):
+    """Log probability of the likeliest path: every way to write, states are all that is written of a word."""
+    grams = Counter()
+    for word, n in words.items():
+        padded = "^" + word + "$"
+        for i in range(1, len(padded)):
+            for k in range(max(0, i - toxicity.ORDER + 1), i + 1):
+                grams[padded[k : i + 1]] += n
+    starts = Counter()
+    for g, n in grams.items():
+        starts[g[:-1]] += n
+
+    def log(written, char):
+        context, lost = written[1 - toxicity.ORDER :], 0.0
+        while context not in starts:
+            context = context[1:]
+        while context + char not in grams:
+            if not context:
+                return lost + np.log(0.1 / starts[""])
+            context, lost = context[1:], lost - toxicity.BACK
+        return lost + np.log(grams[context + char] / starts[context])
+
+    wild = dict.fromkeys(toxicity.WILD, "abcdefghijklmnopqrstuvwxyz")
+    paths, last = {"^": 0.0}, None
+    for c in re.sub(r"[ .\-]+", " ", token):
+        after = defaultdict(lambda: -np.inf)
+        for written, v in paths.items():
+            if c.isalpha():
+                after[written + c] = max(after[written + c], v + log(written, c))
+            for x in (toxicity.LEET | wild).get(c, ""):
+                after[written + x] = max(after[written + x], v + log(written, x) - (toxicity.WILD_SWAP if c in wild else toxicity.SWAP))
+            if c == " " or c in wild or c in toxicity.GAPS:
+                after[written] = max(after[written], v - toxicity.SKIP)
+                if written != "^":
+                    after["^"] = max(after["^"], v - toxicity.SKIP + log(written, "$"))
+            elif c == last:
+                after[written] = max(after[written], v - toxicity.COLLAPSE)
+        paths, last = dict(after), last if c == " " else c
+    return max(v + (log(w, "$") if w != "^" else 0.0) for w, v in paths.items())
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text("aabbcé10$|. *", min_size=1, max_size=8))
+def test_decoding_matches_brute_force(token):
+    words = Counter({"abba": 7, "cab": 4, "bac": 3, "éab": 2, "lab": 3, "sol": 1, "bobs": 2})
+    if token.count("*") <= 2:
+        value, _ = toxicity.CharModel(words).decode_all([token])[0]
+        assert value == pytest.approx(brute_viterbi(words, token), abs=1e-4)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text("aabbcdelmé10$|. *#&", min_size=1, max_size=120), min_size=1, max_size=6))
+def test_cuts_of_long_tokens_change_nothing(tokens):
+    words = Counter({"abba": 7, "cable": 4, "bacdel": 3, "éablem": 2, "lab": 3, "debacle": 1, "bobs": 2})
+    model, long = toxicity.CharModel(words), toxicity.LONG
+    cut = model.decode_all(tokens)
+    try:
+        toxicity.LONG = 10**9
+        whole = [model.decode_all([t])[0] for t in tokens]
+    finally:
+        toxicity.LONG = long
+    assert [v for v, _ in cut] == pytest.approx([v for v, _ in whole], abs=1e-3)
 
 
 def test_long_tokens_are_read_whole():
