@@ -168,10 +168,59 @@ def test_signatures_estimate_similarity():
     assert abs((sig[0] == sig[1]).mean() - 300 / 500) < 0.15
 
 
-def test_near_duplicates_on_odd_rows(odd, empty):
-    found = near_dup.near_duplicates(odd).collect()
-    assert len(found) == 7
+def family_rows(n=160, words=150, seed=3):
+    """Copies of one text of which each has its own edits, so that some are linked and others are just too far apart; the original is not there."""
+    r = random.Random(seed)
+    base = [f"w{k}" for k in range(words)]
+    out = []
+    for i in range(n):
+        own = list(base)
+        for k in r.sample(range(words), r.choice([1, 1, 2, 2, 3, 4])):
+            own[k] = f"e{r.randrange(12)}" if i % 3 else f"own{i}"
+        out.append((i, " ".join(own), "aa", "s1"))
+    return out
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_families_without_an_original(spark, percent):
+    rows = family_rows()
+    found = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dup.near_duplicates(frame(spark, rows), percent).collect()}
+    assert found == brute_components([(r[0], r[1]) for r in rows], percent)
+    assert 1 < sum(kept for _, _, kept in found.values()) < len(rows)
+
+
+def test_chains_take_few_rounds(spark, monkeypatch):
+    staged = []
+    monkeypatch.setattr(near_dup, "stage", lambda df, tag, own=near_dup.stage: staged.append(tag) or own(df, tag))
+    chain = [(k, k + 1) for k in range(400)] + [(1000 + 7 * k % 101, 1000 + 7 * (k + 1) % 101) for k in range(100)]
+    found = {r.node: r.component for r in near_dup.components(spark.createDataFrame(chain, "a long, b long")).collect()}
+    assert found == {k: 0 for k in range(401)} | {1000 + k: 1000 for k in range(101)}
+    assert len(staged) <= 50
+
+
+def test_near_duplicates_on_odd_rows(spark, odd, empty):
+    found = Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dup.near_duplicates(odd).collect())
+    # both texts of 7 are similar; the null id has the set of one of them
+    assert found == Counter({(7, 10, 7, True): 2, (7, 11, 7, True): 1, (None, 10, 7, False): 1, (8, 0, 8, True): 1, (9, 0, 9, True): 1, (None, 0, None, True): 1})
     assert near_dup.near_duplicates(empty).count() == 0
+    # ids with two texts tie them together, whoever is the smallest
+    x, y = (" ".join(f"{c}{k}" for k in range(50)) for c in "xy")
+    rows = [(1, x, None, None), (5, x, None, None), (5, y, None, None), (3, y, None, None), (8, y + " z", None, None)]
+    found = Counter((r.doc_id, r.component_id, r.kept) for r in near_dup.near_duplicates(frame(spark, rows)).collect())
+    assert found == Counter({(1, 1, True): 1, (5, 1, False): 2, (3, 1, False): 1, (8, 1, False): 1})
+
+
+def test_one_of_each_group_on_odd_rows(spark, odd, empty):
+    kept = near_dup.one_of_each_group(odd)
+    assert kept.columns == odd.columns
+    # one text of id 7, of two that are similar, and the wordless rows
+    found = kept.collect()
+    assert sorted(str(r.doc_id) for r in found) == ["7", "8", "9", "None"] and all(not (r.text or "").strip() for r in found if r.doc_id != 7)
+    x, y = (" ".join(f"{c}{k}" for k in range(50)) for c in "xy")
+    rows = [(None, x, None, None), (None, x, None, None), (4, y, None, None), (4, x + " z", None, None), (None, y + " z", None, None), (6, "short", None, None), (6, "short", None, None), (6, "other", None, None)]
+    found = Counter((r.doc_id, r.text) for r in near_dup.one_of_each_group(frame(spark, rows)).collect())
+    assert found == Counter([(4, y), (4, x + " z"), (6, "short"), (6, "other")])
+    assert near_dup.one_of_each_group(empty).count() == 0
 
 
 # --- 10

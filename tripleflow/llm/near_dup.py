@@ -1,12 +1,13 @@
 """Near-duplicate groups: SuperMinHash signatures, banding, verification, union-find.
 
 Documents with equal shingle sets are one class from the start. Classes whose
-signatures share a band meet in a bucket; in every bucket a few leaders are compared
-with all other members on full sets, so a bucket of n members costs n comparisons,
-not n squared. Rounds with more leaders follow only for buckets whose members are
-not all in one component yet, until no pair of different components is untested; in
-these, a pair must also share SHARED of the rarest shingles of both: the prefixes of
-similar sets have so many in common, those of documents that are merely alike do not.
+signatures share a band meet in a bucket; one leader of every bucket is compared with
+the other members on full sets. Where a bucket then still holds several components,
+its members are indexed by their rarest shingles. Of two similar sets the first shingle
+that both have comes so early in either that sizes and places alone rule out most
+pairs (an exact filter); in every list of the index a few leaders are compared with
+the members of other components that the filter leaves, and rounds with more leaders
+follow until it leaves none. Pairs of members are never listed.
 """
 
 from __future__ import annotations
@@ -18,18 +19,18 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import mix, ranges, stage, utf8
+from .shared import mix, ranges, stage, trim, utf8
 
 SHINGLE = 5
 SLOTS = 100
 BANDS = 20  # of SLOTS / BANDS slots: a pair at 0.85 shares none with probability 8e-6
 LOW_BANDS = 25  # below 0.85: a pair at 0.8 shares none with probability 2e-6
-SHARED = 128
-BATCH_WORDS = 250_000
+BATCH_WORDS = 60_000
+KNOWN_WORDS = 100_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -38,7 +39,7 @@ class WordHashes(dict):
     """64-bit hashes of words; forgets all when it has many."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > KNOWN_WORDS:
             self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word)
         return value
@@ -132,7 +133,7 @@ _SIGNED = T.StructType(
         T.StructField("bands", T.ArrayType(T.LongType())),
     ]
 )
-_SETS = T.StructType([T.StructField("rep", T.LongType()), T.StructField("f1", T.LongType()), T.StructField("f2", T.LongType()), T.StructField("shingles", T.BinaryType())])
+_SETS = "rep long, f1 long, f2 long, shingles binary"
 
 
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[bytes]]]:
@@ -163,6 +164,7 @@ def _sign(bands: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
                 [ids, pa.array(counts.astype(np.int64)), pa.array(marks[:, 0].copy()), pa.array(marks[:, 1].copy()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel()))],
                 names=_SIGNED.names,
             )
+        trim()
 
     return sign
 
@@ -173,24 +175,28 @@ def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, counts = shingle_sets(texts, known)
         marks, ends = _fingerprints(hashes, counts), np.cumsum(counts)
         sets = [hashes[e - c : e].tobytes() for c, e in zip(counts.tolist(), ends.tolist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([ids, pa.array(marks[:, 0].copy()), pa.array(marks[:, 1].copy()), pa.array(sets, pa.binary())], names=_SETS.names)
+        yield pa.RecordBatch.from_arrays([ids, pa.array(marks[:, 0].copy()), pa.array(marks[:, 1].copy()), pa.array(sets, pa.binary())], names=["rep", "f1", "f2", "shingles"])
+    trim()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable over ``edges`` (a, b), for every node that has an edge.
 
-    Contraction: every node points to its least neighbour, pointers are doubled, edges
-    are renamed to the nodes pointed to, and those within a node vanish. Only counts
-    reach the driver.
+    Contraction: every node points to its least neighbour, pointers are doubled until
+    they stand, edges are renamed to the nodes pointed to, and those within a node
+    vanish. So a chain in order takes one round. Only counts reach the driver.
     """
     labels: DataFrame | None = None
     edges = stage(edges.where("a <> b").distinct(), "cc-edges")
     while True:
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         to = stage(both.groupBy("a").agg(F.least("a", F.min("b")).alias("p")), "cc-to")
-        for _ in range(2):
+        while True:
             nxt = to.select(F.col("a").alias("x"), F.col("p").alias("pp"))
-            to = stage(to.join(nxt, F.col("p") == F.col("x")).select("a", F.col("pp").alias("p")), "cc-jump")
+            jumped = stage(to.join(nxt, F.col("p") == F.col("x")).select("a", F.col("pp").alias("p"), (F.col("pp") < F.col("p")).alias("moved")), "cc-jump")
+            to = jumped.select("a", "p")
+            if jumped.where("moved").isEmpty():
+                break
         if labels is None:
             labels = to.select(F.col("a").alias("node"), F.col("p").alias("component"))
         else:
@@ -198,29 +204,29 @@ def components(edges: DataFrame) -> DataFrame:
         pa_, pb = to.select(F.col("a").alias("x"), F.col("p").alias("pa")), to.select(F.col("a").alias("y"), F.col("p").alias("pb"))
         renamed = edges.join(pa_, F.col("a") == F.col("x")).join(pb, F.col("b") == F.col("y"))
         edges = stage(renamed.where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "cc-edges")
-        if edges.isEmpty():
-            return stage(labels, "cc-labels")
         labels = stage(labels, "cc-labels")
+        if edges.isEmpty():
+            return labels
 
 
-def verified(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The ``edges`` (a, b) whose full sets have 100 * intersection >= percent * union."""
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): components ca and cb of those ``pairs`` (rep, f1, leader, leader_f1, ca, cb) whose full sets have 100 * intersection >= percent * union."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b, x, y = (batch.column(k) for k in range(4))
             good = np.zeros(batch.num_rows, bool)
-            for i, (p, q) in enumerate(zip(x.to_pylist(), y.to_pylist(), strict=True)):
-                p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
+            for i in range(batch.num_rows):
+                p, q = np.frombuffer(x[i].as_buffer(), np.uint64), np.frombuffer(y[i].as_buffer(), np.uint64)
                 if 100 * min(len(p), len(q)) >= percent * max(len(p), len(q)):
                     at = np.searchsorted(q, p)
                     both = int((q[np.minimum(at, len(q) - 1)] == p).sum())
                     good[i] = 100 * both >= percent * (len(p) + len(q) - both)
             yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(good))
 
-    left = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("y"))
-    return edges.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long").distinct()
+    left = sets.select("rep", "f1", F.col("shingles").alias("x"))
+    right = sets.select(F.col("rep").alias("leader"), F.col("f1").alias("leader_f1"), F.col("shingles").alias("y"))
+    return pairs.join(left, ["rep", "f1"]).join(right, ["leader", "leader_f1"]).select("ca", "cb", "x", "y").mapInArrow(check, "a long, b long").distinct()
 
 
 def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,42 +234,64 @@ def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for k in range(0, batch.num_rows, 200):
             part = batch.slice(k, 200)
-            own = [np.frombuffer(x, np.int64) for x in part.column(1).to_pylist()]
+            own = [np.frombuffer(x, np.int64) for x in part.column(3).to_pylist()]
             sizes = np.array([len(x) for x in own], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), sizes)), pa.array(np.concatenate(own))], names=["rep", "token"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(np.repeat(part.column(j).to_numpy(), sizes)) for j in range(3)), pa.array(np.concatenate(own))], names=["rep", "f1", "component", "token"])
 
 
-def prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """(rep, prefix, need): the rarest shingles of each set, so many that sets as similar as ``percent`` share the smaller ``need``.
+def early(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(token, rep, f1, component, n, place): the early shingles of the ``open_`` (rep, component) sets.
 
-    Of the shingles that two such sets share, at least ceil(percent / 100 * n) of either,
-    all but the first ``need`` come later; so these lie in the first n - ceil(...) + need.
+    Only shingles that more than one component has can be common to sets of different
+    components. A set's places begin with all others, then these from the rarest on.
+    Sets that have too few are similar to none. Of two similar sets of sizes n and m at
+    least percent / (100 + percent) * (n + m) are common, so the first of them has as
+    many places from it to the end, in either set, and is among the first
+    n - ceil(percent / 100 * n) + 1 of n.
     """
-    each = sets.select("rep", "shingles").mapInArrow(_spread, "rep long, token long")
-    common = each.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    ranked = each.join(common, "token").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("all"))
-    n = F.size("all")
-    least = F.ceil(n * percent / 100)
-    return ranked.select(
-        "rep",
-        F.transform(F.slice("all", F.lit(1), (n - least + F.least(least, F.lit(SHARED))).cast("int")), lambda x: x["token"]).alias("prefix"),
-        F.least(least, F.lit(SHARED)).cast("int").alias("need"),
+    each = sets.join(open_, "rep").select("rep", "f1", "component", "shingles").mapInArrow(_spread, "rep long, f1 long, component long, token long")
+    each = stage(each, "near-tokens")
+    between = each.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("df")).where("low < high").select("token", "df")
+    ranked = each.join(between, "token").groupBy("rep", "f1", "component").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("all"))
+    sized = ranked.join(sets.select("rep", "f1", (F.length("shingles") / 8).cast("long").alias("n")), ["rep", "f1"])
+    own = F.size("all")
+    some = sized.where(100 * own >= percent * F.col("n"))
+    # places count from 0; the first of `all` is at n - size
+    wanted = F.slice("all", 1, (F.lit(1) + own - F.ceil(F.col("n") * percent / 100)).cast("int"))
+    listed = some.select("rep", "f1", "component", "n", (F.col("n") - own).alias("first"), F.posexplode(F.transform(wanted, lambda x: x["token"])).alias("k", "token"))
+    return listed.select("token", "rep", "f1", "component", "n", (F.col("first") + F.col("k")).alias("place"))
+
+
+def _apart(members: DataFrame, *key: str) -> DataFrame:
+    """Keys whose members are in more than one component."""
+    return members.groupBy(*key).agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select(*key)
+
+
+def _fits(percent: int, n: str, place: str, m: str, other: str) -> Column:
+    """Sets of sizes n and m whose first common shingle is at these places may be similar."""
+    return F.least(F.col(n) - F.col(place), F.col(m) - F.col(other)) * (100 + percent) >= percent * (F.col(n) + F.col(m))
+
+
+def live(entries: DataFrame, percent: int) -> DataFrame:
+    """The ``entries`` that fit another component's entry of their list: decided for each size and place that occurs, not for each member."""
+    lists = entries.join(_apart(entries, "token"), "token", "left_semi")
+    kinds = lists.groupBy("token", "n", "place").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    kinds = stage(kinds, "near-kinds")
+    # the partner's side of a list in one row of its own, so that a kind meets the list once
+    other = kinds.groupBy("token").agg(F.collect_list(F.struct("n", "place", "low", "high")).alias("others"))
+    fit = F.exists(
+        "others",
+        lambda x: (F.least(F.col("n") - F.col("place"), x["n"] - x["place"]) * (100 + percent) >= percent * (F.col("n") + x["n"]))
+        & ((F.col("low") < F.col("high")) | (x["low"] < x["high"]) | (F.col("low") != x["low"])),
     )
+    alive = kinds.join(other, "token").where(fit).select("token", "n", "place")
+    return lists.join(alive, ["token", "n", "place"], "left_semi")
 
 
-def with_prefixes(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The members of open buckets that share a prefix shingle with another component, each with its prefix."""
-    own = open_.select("rep", "component").distinct()
-    known = stage(prefixes(sets.join(own.select("rep"), "rep", "left_semi"), percent), "near-prefixes")
-    tokens = stage(known.join(own, "rep").select("rep", "component", F.explode("prefix").alias("token")), "near-tokens")
-    between = tokens.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
-    live = tokens.join(between, "token", "left_semi").select("rep").distinct()
-    return stage(open_.drop("prefix", "need").join(live, "rep", "left_semi").join(known, "rep"), "near-live")
-
-
-def _apart(members: DataFrame) -> DataFrame:
-    """Buckets whose members are in more than one component."""
-    return members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+def _relabel(df: DataFrame, moved: DataFrame) -> DataFrame:
+    """``component`` as ``moved`` (node, component) has it."""
+    to = moved.select(F.col("node").alias("component"), F.col("component").alias("moved_to"))
+    return df.join(to, "component", "left").withColumn("component", F.coalesce("moved_to", "component")).select(df.columns)
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -271,46 +299,54 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
 
     Words are runs of non-space bytes, A-Z lower-cased; a text of fewer than 5 words,
     but some, has the one shingle of all of them; null and wordless texts have none and
-    are linked with nothing. Rows that share an id are one node. An empty table gives an
-    empty result; other columns are ignored. Returns doc_id, n_shingles, component_id
-    (smallest id reachable), kept (doc_id = component_id).
+    are linked with nothing. Rows that share an id are one node: all their texts'
+    links are its own. A row with a null id is no node, but is in the component of
+    rows with an equal set. An empty table gives an empty result; other columns are
+    ignored. Returns doc_id, n_shingles, component_id (smallest id reachable), kept
+    (doc_id = component_id).
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = stage(texts.mapInArrow(_sign(BANDS if percent >= 85 else LOW_BANDS), _SIGNED), "near-signed")
+    bands = BANDS if percent >= 85 else LOW_BANDS
+    signed = stage(texts.mapInArrow(_sign(bands), _SIGNED), "near-signed")
     some = signed.where("n > 0")
     classes = stage(some.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("copies")), "near-classes")
-    rows = classes.where(F.col("rep").isNotNull()).select("rep", "n", F.explode("bands").alias("key"))
+    rows = classes.where(F.col("rep").isNotNull()).select("rep", "f1", "n", F.explode("bands").alias("key"))
     shared_keys = stage(rows.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "near-buckets")
     members = stage(rows.join(shared_keys, "key"), "near-members")
-    central = members.groupBy("rep").agg(F.sum("members").alias("weight"))
-    members = stage(members.join(central, "rep").select("key", "rep", "n", "weight"), "near-members")
+    # ids with several texts tie their classes together
+    several = some.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("f1").alias("low"), F.max("f1").alias("high")).where("low < high").select("doc_id")
+    ties = some.select("doc_id", "f1", "f2").join(several, "doc_id", "left_semi").join(classes.select("f1", "f2", "rep"), ["f1", "f2"])
+    ties = stage(ties.groupBy("doc_id").agg(F.min("rep").alias("least"), F.collect_set("rep").alias("reps")).select(F.explode("reps").alias("a"), F.col("least").alias("b")), "near-ties")
+    # the most connected member of a bucket leads: an original rather than its copies
+    weight = members.groupBy("rep", "f1").agg(F.sum("members").alias("weight"))
+    lead = members.join(weight, ["rep", "f1"]).groupBy("key").agg(F.min(F.struct((-F.col("weight")).alias("w"), F.col("rep").alias("leader"), F.col("f1").alias("leader_f1"), F.col("n").alias("leader_n"))).alias("l")).select("key", "l.*")
+    apt = ((F.col("rep") != F.col("leader")) | (F.col("f1") != F.col("leader_f1"))) & (100 * F.least("n", "leader_n") >= percent * F.greatest("n", "leader_n"))
+    pairs = members.join(lead, "key").where(apt).select("rep", "f1", "leader", "leader_f1", F.col("rep").alias("ca"), F.col("leader").alias("cb"))
     wanted = stage(members.select("rep").distinct(), "near-wanted")
-    sets = stage(texts.join(wanted, texts["doc_id"] == wanted["rep"]).select("doc_id", "text").mapInArrow(_expand, _SETS).join(classes.select("f1", "f2"), ["f1", "f2"], "left_semi").select("rep", "shingles").distinct(), "near-sets")
-    labels = links = None
-    open_, leaders = members.select("key", "rep", "n", "weight", F.col("rep").alias("component"), F.lit(None).cast("array<long>").alias("prefix"), F.lit(None).cast("int").alias("need")), 1
-    while True:
-        # the most connected members lead: an original rather than its copies
-        rank = Window.partitionBy("key").orderBy(F.desc("weight"), "rep")
-        lead = open_.withColumn("place", F.row_number().over(rank)).where(F.col("place") <= leaders)
-        lead = stage(lead.select("key", F.col("rep").alias("leader"), F.col("n").alias("leader_n"), F.col("component").alias("leader_component"), F.col("prefix").alias("leader_prefix"), F.col("need").alias("leader_need")), "near-leaders")
-        apt = (F.col("component") != F.col("leader_component")) & (100 * F.least("n", "leader_n") >= percent * F.greatest("n", "leader_n"))
-        if leaders > 1:
-            apt &= F.size(F.array_intersect("prefix", "leader_prefix")) >= F.least("need", "leader_need")
-        pairs = open_.join(lead, "key").where(apt)
-        edges = stage(pairs.select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct(), "near-pairs")
-        new = stage(verified(edges, sets, percent), "near-links")
-        if labels is None or not new.isEmpty():
-            links = new if links is None else links.unionAll(new)
-            labels = components(links)
-        rest = open_.drop("component").join(lead.select("key", F.col("leader").alias("rep")), ["key", "rep"], "left_anti")
-        rest = rest.join(labels, F.col("rep") == F.col("node"), "left").select("key", "rep", "n", "weight", F.coalesce("component", "rep").alias("component"), "prefix", "need")
-        rest = stage(rest, "near-rest")
+    sets = texts.join(wanted, texts["doc_id"] == wanted["rep"]).select("doc_id", "text").mapInArrow(_expand, _SETS).dropDuplicates(["rep", "f1", "f2"])
+    # rows of a wanted id whose text is of no wanted class go
+    sets = stage(sets.join(members.select("rep", "f1").distinct(), ["rep", "f1"], "left_semi").select("rep", "f1", "shingles"), "near-sets")
+    links = verified(stage(pairs.distinct(), "near-pairs"), sets, percent)
+    labels = components(links.unionAll(ties))
+    home = members.select("key", "rep", F.col("rep").alias("component"))
+    home = stage(_relabel(home, labels), "near-home")
+    open_ = stage(home.join(_apart(home, "key"), "key", "left_semi").select("rep", "component").distinct(), "near-open")
+    entries, leaders = stage(live(stage(early(open_, sets, percent), "near-early"), percent), "near-live"), 1
+    while not entries.isEmpty():
         if leaders == 1:
-            rest = with_prefixes(rest.join(_apart(rest), "key"), sets, percent)
-        apart = stage(_apart(rest), "near-apart")
-        if apart.isEmpty():
-            break
-        open_, leaders = stage(rest.join(apart, "key"), "near-open"), leaders * 8
+            lead = entries.groupBy("token").agg(F.min(F.struct("place", "rep", "f1", "n", "component")).alias("l")).select("token", "l.*")
+        else:
+            lead = entries.withColumn("at", F.row_number().over(Window.partitionBy("token").orderBy("place", "rep", "f1"))).where(F.col("at") <= leaders).drop("at")
+        lead = stage(lead.select("token", *(F.col(c).alias(f"leader_{c}") for c in ("rep", "f1", "n", "place", "component"))), "near-leaders")
+        fit = (F.col("component") != F.col("leader_component")) & _fits(percent, "n", "place", "leader_n", "leader_place")
+        pairs = entries.join(lead, "token").where(fit).select("rep", "f1", F.col("leader_rep").alias("leader"), "leader_f1", F.col("component").alias("ca"), F.col("leader_component").alias("cb"))
+        links = stage(verified(stage(pairs.distinct(), "near-pairs"), sets, percent), "near-links")
+        rest = entries.join(lead.select("token", F.col("leader_rep").alias("rep"), F.col("leader_f1").alias("f1")), ["token", "rep", "f1"], "left_anti")
+        if not links.isEmpty():
+            moved = components(links)
+            labels = stage(_relabel(labels, moved).unionAll(moved).distinct(), "near-labels")
+            rest = _relabel(rest, moved)
+        entries, leaders = stage(live(stage(rest, "near-rest"), percent), "near-live"), leaders * 8
     homes = classes.join(labels, F.col("rep") == F.col("node"), "left").select("f1", "f2", "rep", "copies", F.coalesce("component", "rep").alias("component"))
     moved = stage(homes.where("copies > 1 or component <> rep").select("f1", "f2", "component"), "near-homes")
     return signed.join(moved, ["f1", "f2"], "left").select(
@@ -319,3 +355,26 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
         F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"),
         F.when(F.col("n") > 0, F.col("doc_id").eqNullSafe(F.coalesce("component", "doc_id"))).otherwise(F.lit(True)).alias("kept"),
     )
+
+
+def one_of_each_group(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without near copies: of every group that with the smallest id stays, null ids last.
+
+    Rows are told apart by a hash of id and text, so null ids and ids with several
+    texts take part like any other; of rows with equal id and text one stays, unless
+    they have no words. All columns are kept, whatever their names; an empty table
+    gives an empty result.
+    """
+    mark = F.xxhash64(F.col(id_col).cast("long"), F.col(text_col))
+    rows = docs.select(mark.alias("doc_id"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    found = near_duplicates(rows, percent).where("n_shingles > 0").groupBy("doc_id").agg(F.first("component_id").alias("group"), F.count(F.lit(1)).alias("rows"))
+    found = stage(found, "one-found")
+    groups = found.groupBy("group").agg(F.sum("rows").alias("rows")).where("rows > 1").select("group")
+    several = stage(found.join(groups, "group", "left_semi").join(rows.select("doc_id", "id").distinct(), "doc_id"), "one-several")
+    first = several.groupBy("group").agg(F.min(F.struct(F.col("id").isNull(), "id", "doc_id")).alias("least")).select(F.col("least.doc_id").alias("doc_id"), F.lit(True).alias("first"))
+    fate = stage(several.join(first, "doc_id", "left").select("doc_id", F.coalesce("first", F.lit(False)).alias("first"), "rows"), "one-fate")
+    gone, repeated = fate.where(~F.col("first")).select("doc_id"), fate.where("first and rows > 1").select("doc_id")
+    inner = docs.toDF(*(f"c{k}" for k in range(len(docs.columns)))).withColumn("doc_id", F.xxhash64(F.col(f"c{docs.columns.index(id_col)}").cast("long"), F.col(f"c{docs.columns.index(text_col)}")))
+    left = inner.join(gone, "doc_id", "left_anti")
+    once = left.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return left.join(repeated, "doc_id", "left_anti").unionByName(once).drop("doc_id").toDF(*docs.columns)
