@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import mix, ranges, stage, trim, utf8
+from .shared import mix, ranges, release, stage, trim, utf8
 
 SHINGLE = 5
 SLOTS = 100
@@ -133,7 +133,7 @@ _SIGNED = T.StructType(
         T.StructField("bands", T.ArrayType(T.LongType())),
     ]
 )
-_SETS = "rep long, f1 long, f2 long, shingles binary"
+_SETS = "rep long, f1 long, n long, shingles binary"
 
 
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[bytes]]]:
@@ -175,7 +175,7 @@ def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, counts = shingle_sets(texts, known)
         marks, ends = _fingerprints(hashes, counts), np.cumsum(counts)
         sets = [hashes[e - c : e].tobytes() for c, e in zip(counts.tolist(), ends.tolist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([ids, pa.array(marks[:, 0].copy()), pa.array(marks[:, 1].copy()), pa.array(sets, pa.binary())], names=["rep", "f1", "f2", "shingles"])
+        yield pa.RecordBatch.from_arrays([ids, pa.array(marks[:, 0].copy()), pa.array(counts.astype(np.int64)), pa.array(sets, pa.binary())], names=["rep", "f1", "n", "shingles"])
     trim()
 
 
@@ -234,9 +234,9 @@ def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for k in range(0, batch.num_rows, 200):
             part = batch.slice(k, 200)
-            own = [np.frombuffer(x, np.int64) for x in part.column(3).to_pylist()]
+            own = [np.frombuffer(x, np.int64) for x in part.column(4).to_pylist()]
             sizes = np.array([len(x) for x in own], np.int64)
-            yield pa.RecordBatch.from_arrays([*(pa.array(np.repeat(part.column(j).to_numpy(), sizes)) for j in range(3)), pa.array(np.concatenate(own))], names=["rep", "f1", "component", "token"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(np.repeat(part.column(j).to_numpy(), sizes)) for j in range(4)), pa.array(np.concatenate(own))], names=["rep", "f1", "n", "component", "token"])
 
 
 def early(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -249,17 +249,18 @@ def early(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     many places from it to the end, in either set, and is among the first
     n - ceil(percent / 100 * n) + 1 of n.
     """
-    each = sets.join(open_, "rep").select("rep", "f1", "component", "shingles").mapInArrow(_spread, "rep long, f1 long, component long, token long")
+    each = sets.join(open_, "rep").select("rep", "f1", "n", "component", "shingles").mapInArrow(_spread, "rep long, f1 long, n long, component long, token long")
     each = stage(each, "near-tokens")
     between = each.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("df")).where("low < high").select("token", "df")
-    ranked = each.join(between, "token").groupBy("rep", "f1", "component").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("all"))
-    sized = ranked.join(sets.select("rep", "f1", (F.length("shingles") / 8).cast("long").alias("n")), ["rep", "f1"])
+    ranked = each.join(between, "token").groupBy("rep", "f1", "n", "component").agg(F.sort_array(F.collect_set(F.struct("df", "token"))).alias("all"))
     own = F.size("all")
-    some = sized.where(100 * own >= percent * F.col("n"))
+    some = ranked.where(100 * own >= percent * F.col("n"))
     # places count from 0; the first of `all` is at n - size
     wanted = F.slice("all", 1, (F.lit(1) + own - F.ceil(F.col("n") * percent / 100)).cast("int"))
     listed = some.select("rep", "f1", "component", "n", (F.col("n") - own).alias("first"), F.posexplode(F.transform(wanted, lambda x: x["token"])).alias("k", "token"))
-    return listed.select("token", "rep", "f1", "component", "n", (F.col("first") + F.col("k")).alias("place"))
+    out = stage(listed.select("token", "rep", "f1", "component", "n", (F.col("first") + F.col("k")).alias("place")), "near-early")
+    release(each)
+    return out
 
 
 def _apart(members: DataFrame, *key: str) -> DataFrame:
@@ -320,18 +321,19 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     # the most connected member of a bucket leads: an original rather than its copies
     weight = members.groupBy("rep", "f1").agg(F.sum("members").alias("weight"))
     lead = members.join(weight, ["rep", "f1"]).groupBy("key").agg(F.min(F.struct((-F.col("weight")).alias("w"), F.col("rep").alias("leader"), F.col("f1").alias("leader_f1"), F.col("n").alias("leader_n"))).alias("l")).select("key", "l.*")
+    lead = stage(lead, "near-leaders")
     apt = ((F.col("rep") != F.col("leader")) | (F.col("f1") != F.col("leader_f1"))) & (100 * F.least("n", "leader_n") >= percent * F.greatest("n", "leader_n"))
     pairs = members.join(lead, "key").where(apt).select("rep", "f1", "leader", "leader_f1", F.col("rep").alias("ca"), F.col("leader").alias("cb"))
     wanted = stage(members.select("rep").distinct(), "near-wanted")
-    sets = texts.join(wanted, texts["doc_id"] == wanted["rep"]).select("doc_id", "text").mapInArrow(_expand, _SETS).dropDuplicates(["rep", "f1", "f2"])
-    # rows of a wanted id whose text is of no wanted class go
-    sets = stage(sets.join(members.select("rep", "f1").distinct(), ["rep", "f1"], "left_semi").select("rep", "f1", "shingles"), "near-sets")
+    # a set is there as often as its row; other texts of a wanted id are there too, which are tied to it anyway
+    sets = stage(texts.join(wanted, texts["doc_id"] == wanted["rep"]).select("doc_id", "text").mapInArrow(_expand, _SETS), "near-sets")
     links = verified(stage(pairs.distinct(), "near-pairs"), sets, percent)
     labels = components(links.unionAll(ties))
-    home = members.select("key", "rep", F.col("rep").alias("component"))
+    # leaders are through with their bucket
+    home = members.select("key", "rep", "f1", F.col("rep").alias("component")).join(lead.select("key", F.col("leader").alias("rep"), F.col("leader_f1").alias("f1")), ["key", "rep", "f1"], "left_anti")
     home = stage(_relabel(home, labels), "near-home")
     open_ = stage(home.join(_apart(home, "key"), "key", "left_semi").select("rep", "component").distinct(), "near-open")
-    entries, leaders = stage(live(stage(early(open_, sets, percent), "near-early"), percent), "near-live"), 1
+    entries, leaders = stage(live(early(open_, sets, percent), percent), "near-live"), 1
     while not entries.isEmpty():
         if leaders == 1:
             lead = entries.groupBy("token").agg(F.min(F.struct("place", "rep", "f1", "n", "component")).alias("l")).select("token", "l.*")
@@ -349,6 +351,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
         entries, leaders = stage(live(stage(rest, "near-rest"), percent), "near-live"), leaders * 8
     homes = classes.join(labels, F.col("rep") == F.col("node"), "left").select("f1", "f2", "rep", "copies", F.coalesce("component", "rep").alias("component"))
     moved = stage(homes.where("copies > 1 or component <> rep").select("f1", "f2", "component"), "near-homes")
+    release(members, sets, home, classes)
     return signed.join(moved, ["f1", "f2"], "left").select(
         F.col("doc_id").alias(id_col),
         F.col("n").alias("n_shingles"),

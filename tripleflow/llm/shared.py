@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
-_STAGED: list[str] = []
+ARROW_BYTES = 8_000_000
+_ARROW = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -28,26 +29,33 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, its session set so that rows reach Python workers in batches of ARROW_BYTES at most, long texts or not."""
+    conf = df.sparkSession.conf
+    if int(conf.get(_ARROW).rstrip("b")) not in range(1, ARROW_BYTES + 1):
+        conf.set(_ARROW, ARROW_BYTES)
+    return df
+
+
 def stage(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends in files that outlive executors."""
-    spark = df.sparkSession
+    spark = bounded(df).sparkSession
     path = f"{shared_root(spark)}/staged/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _STAGED.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
 
 
-def release_staged(spark: SparkSession) -> None:
-    """Delete every staged table of this process (their DataFrames end with them)."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while _STAGED:
-        path = jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
-        path.getFileSystem(conf).delete(path, True)
+def release(*staged: DataFrame) -> None:
+    """Delete the files of tables that ``stage`` gave, once all that reads them has itself been written."""
+    for df in staged:
+        path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df._staged_at)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return bounded(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def fold(doc_id: str | Column) -> Column:
