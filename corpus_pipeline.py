@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripleflow.llm import decontaminate, language, mixing, near_dup, sharding
-from tripleflow.llm.shared import stage, table
+from tripleflow.llm.shared import release, stage, table
 
 SHARDS = 8
 SIMILAR = 80  # percent
@@ -75,6 +75,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, function in STAGES:
-        docs = stage(function(spark, docs, sf_dir), f"pipeline-{name}")
+    for k, (name, function) in enumerate(STAGES):
+        kept = stage(function(spark, docs, sf_dir), f"pipeline-{name}")
+        if k:
+            release(docs)
+        docs = kept
     return docs
