@@ -469,14 +469,54 @@ def test_language(spark, odd, empty):
     assert language.identify(odd, language.fit(empty)).count() == 7
 
 
+def parser_of(texts):
+    return language.CrossParser(texts)
+
+
+def greedy_phrases(parser, ref, text):
+    """Pieces of one parse from end to end: the next piece is the longest that occurs in ``ref``."""
+    known, codes = "".join(map(chr, ref)), "".join(map(chr, text))
+    count = at = 0
+    while at < len(codes):
+        n = 0
+        while at + n < len(codes) and codes[at : at + n + 1] in known:
+            n += 1
+        if at + n == len(codes):
+            break  # the last piece is not over
+        count += 1
+        at += n + (codes[at + n] not in known)  # a symbol that occurs nowhere goes with the piece before it
+    return count
+
+
+@pytest.mark.parametrize("segment", [7, 64, 10**6])
+@pytest.mark.parametrize("cells", [10, 10**7])
+def test_phrases_match_a_greedy_parse(monkeypatch, segment, cells):
+    monkeypatch.setattr(language, "SEGMENT", segment)
+    monkeypatch.setattr(language, "DENSE_CELLS", cells)
+    r = random.Random(7)
+    letters = "abcdeé" + "".join(map(chr, range(0x4E00, 0x4E00 + 400)))
+    text = lambda n, some: "".join(r.choice(some) for _ in range(n))
+    texts = {"aa": [text(300, "abc "), text(200, "abé ")], "zh": [text(900, letters[6:]), text(60, "ab ")]}
+    parser = parser_of(texts)
+    assert parser.letters.width > 300
+    docs = [text(n, some) for n in (0, 1, 5, 400, 1500) for some in ("abc ", letters, letters[6:200] + " ", "xyz")] + [texts["zh"][0][100:700]]
+    codes = [parser.letters.encode(t) for t in docs]
+    found = parser.phrases(codes)
+    for lang, own in enumerate(parser.langs):
+        ref = np.concatenate([np.zeros(1, np.int32), *[parser.letters.encode(t) for t in texts[own]]]).tolist()
+        # a letter that no text of the language has is a piece that is passed over, as is the symbol of unknown letters
+        for d, x in enumerate(codes):
+            assert found[d, lang] == greedy_phrases(parser, ref, x.tolist()), (own, d)
+
+
 def test_automaton_knows_all_substrings():
     codes = [int(c) for c in "0110100110010110"]
-    table = language.SuffixAutomaton(codes).dense(2)
+    automaton = language.SuffixAutomaton(codes)
 
     def has(word):
         s = 0
         for c in word:
-            s = table[s, c]
+            s = automaton.next[s].get(c, -1)
             if s < 0:
                 return False
         return True

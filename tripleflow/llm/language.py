@@ -3,7 +3,12 @@
 Each language's bounded training text becomes a suffix automaton. A document is
 cut greedily into the longest pieces that occur in that text; related text needs
 few pieces. The pieces are counted for many text segments at once, a character
-a step, in a dense transition table.
+a step: every segment is parsed as if a piece began with it, and then, segment after
+segment, from the state in which the one before really ended until both parses are in
+one state. So the count is that of one parse from end to end.
+
+Transitions over the commonest letters are in a dense table, the others in a hash
+table; every letter of the training texts has a symbol of its own.
 """
 
 from __future__ import annotations
@@ -17,12 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import fold, uniform
+from .shared import bounded, by_bytes, fold, trim, uniform
 
 TRAIN_CHARS = 24_000  # of each language: the bound on the sample that is fitted
-TRAIN_DOCS = 120
+TRAIN_DOCS = 120  # of each language: about so many whole texts the sample is taken from
 SEGMENT = 1024
 LANES = 4096
+DENSE_CELLS = 6_000_000  # of all languages' dense tables together
+BATCH_BYTES = 3_000_000
 
 
 class SuffixAutomaton:
@@ -57,13 +64,56 @@ class SuffixAutomaton:
             last = cur
         self.next = nxt
 
-    def dense(self, width: int) -> np.ndarray:
-        """[states, width] table; -1 where a piece has to end."""
-        out = np.full((len(self.next), width), -1, np.int32)
-        for s, row in enumerate(self.next):
-            for c, t in row.items():
-                out[s, c] = t
-        return out
+    def transitions(self) -> np.ndarray:
+        """[transitions, 3]: state, symbol, state after."""
+        rows = [(s, c, t) for s, row in enumerate(self.next) for c, t in sorted(row.items())]
+        return np.array(rows, np.int64).reshape(-1, 3)
+
+
+class Transitions:
+    """state x symbol -> state or -1: a dense table for symbols below ``dense``, a hash table for the rest."""
+
+    def __init__(self, rows: np.ndarray, states: int, width: int):
+        self.dense = max(2, min(width, DENSE_CELLS // max(1, states)))
+        self.flat = np.full(states * (self.dense + 1), -1, np.int32)  # the last column stands for all further symbols
+        near = rows[:, 1] < self.dense
+        self.flat[rows[near, 0] * (self.dense + 1) + rows[near, 1]] = rows[near, 2]
+        far = rows[~near]
+        self.far = width > self.dense
+        self.mask = (1 << max(4, int(4 * len(far)).bit_length())) - 1
+        self.keys, self.after = np.full(self.mask + 1, -1, np.int64), np.full(self.mask + 1, -1, np.int32)
+        keys = far[:, 0] << 21 | far[:, 1]
+        left = np.arange(len(far))
+        place = self._hash(keys)
+        while len(left):
+            free = self.keys[place] < 0
+            self.keys[place[free]] = keys[left[free]]  # of several for one place the last stays
+            mine = self.keys[place] == keys[left]
+            self.after[place[mine]] = far[left[mine], 2]
+            left, place = left[~mine], (place[~mine] + 1) & self.mask
+
+    def _hash(self, keys: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) & self.mask
+
+    def __call__(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """Arrays of one shape."""
+        if not self.far:
+            return self.flat[state * (self.dense + 1) + symbol]
+        new = self.flat[state * (self.dense + 1) + np.minimum(symbol, self.dense)]
+        if (symbol >= self.dense).any():
+            at = np.nonzero(np.broadcast_to(symbol >= self.dense, new.shape))
+            if len(at[0]):
+                keys = state[at].astype(np.int64) << 21 | np.broadcast_to(symbol, new.shape)[at]
+                place, found, left = self._hash(keys), np.full(len(keys), -1, np.int32), np.arange(len(keys))
+                while len(left):
+                    there = self.keys[place]
+                    hit = there == keys[left]
+                    found[left[hit]] = self.after[place[hit]]
+                    on = ~hit & (there >= 0)
+                    left, place = left[on], (place[on] + 1) & self.mask
+                new[at] = found
+        return new
 
 
 def codepoints(text: str) -> np.ndarray:
@@ -71,7 +121,7 @@ def codepoints(text: str) -> np.ndarray:
 
 
 class Letters:
-    """Code points to symbols: 0 parts words, 1 is a letter not seen in training, then the letters seen."""
+    """Code points to symbols: 0 parts words, 1 is any letter not seen in training, then the letters seen, the commonest first."""
 
     def __init__(self, seen: list[int]):
         self.seen = seen
@@ -80,7 +130,7 @@ class Letters:
 
     def table(self) -> np.ndarray:
         if self._table is None:
-            t = np.fromiter((chr(c).isalpha() for c in range(0x110000)), np.uint8, 0x110000)
+            t = np.fromiter((chr(c).isalpha() for c in range(0x110000)), np.int32, 0x110000)
             t[np.array(self.seen, np.int64)] = np.arange(2, self.width)
             self._table = t
         return self._table
@@ -91,7 +141,7 @@ class Letters:
     def encode(self, text: str) -> np.ndarray:
         """Symbols with one 0 between words and at both ends."""
         codes = self.table()[codepoints(text)]
-        codes = np.concatenate(([0], codes, [0])).astype(np.uint8)
+        codes = np.concatenate(([0], codes, [0])).astype(np.int32)
         keep = np.ones(len(codes), bool)
         keep[1:] = (codes[1:] != 0) | (codes[:-1] != 0)
         return codes[keep]
@@ -100,7 +150,7 @@ class Letters:
 class CrossParser:
     """The fitted languages."""
 
-    def __init__(self, texts: dict[str, list[str]], train_chars: int = TRAIN_CHARS):
+    def __init__(self, texts: dict[str, list[str]]):
         self.langs = sorted(texts)
         counts: dict[int, int] = {}
         for own in texts.values():
@@ -108,45 +158,69 @@ class CrossParser:
                 for c, n in zip(*np.unique(codepoints(t), return_counts=True), strict=True):
                     if chr(int(c)).isalpha():
                         counts[int(c)] = counts.get(int(c), 0) + int(n)
-        common = sorted(counts, key=lambda c: (-counts[c], c))[:250]
-        self.letters = Letters(sorted(common))
-        tables, self.ref = [], []
+        self.letters = Letters(sorted(counts, key=lambda c: (-counts[c], c)))
+        rows, self.ref, roots, states = [], [], [], 0
         for lang in self.langs:
-            codes = np.concatenate([np.zeros(1, np.uint8), *[self.letters.encode(t) for t in texts[lang]]])[:train_chars]
-            tables.append(SuffixAutomaton(codes.tolist()).dense(self.letters.width))
+            codes = np.concatenate([np.zeros(1, np.int32), *[self.letters.encode(t) for t in texts[lang]]])
+            automaton = SuffixAutomaton(codes.tolist())
+            rows.append(automaton.transitions() + np.array([states, 0, states]))
+            roots.append(states)
+            states += len(automaton.next)
             self.ref.append(max(2, len(codes)))
-        self.roots = np.concatenate(([0], np.cumsum([len(t) for t in tables])))[:-1].astype(np.int32) if tables else np.zeros(0, np.int32)
-        self.table = np.concatenate([np.where(t >= 0, t + r, -1) for t, r in zip(tables, self.roots, strict=True)]).astype(np.int32) if tables else np.zeros((0, 2), np.int32)
+        self.roots = np.array(roots, np.int32)
+        self.step = Transitions(np.concatenate(rows) if rows else np.zeros((0, 3), np.int64), states, self.letters.width)
 
     def phrases(self, docs: list[np.ndarray]) -> np.ndarray:
-        """[documents, languages] number of pieces; long texts are parsed in segments of SEGMENT symbols."""
+        """[documents, languages] number of pieces."""
         k, out = len(self.langs), np.zeros((len(docs), len(self.langs)), np.int64)
+        if not k:
+            return out
+        flat = np.concatenate([*docs, np.zeros(1, np.int32)])
+        begin = np.cumsum([0, *(len(d) for d in docs)])[:-1]
         cut = [(d, a) for d, x in enumerate(docs) for a in range(0, len(x), SEGMENT)]
         owner = np.array([c[0] for c in cut], np.int64)
+        start = begin[owner] + np.array([c[1] for c in cut], np.int64) if cut else np.zeros(0, np.int64)
         sizes = np.array([min(SEGMENT, len(docs[d]) - a) for d, a in cut], np.int64)
-        flat, width = self.table.ravel(), self.letters.width
+        root = self.roots[:, None]
+        symbols = np.arange(self.letters.width)
+        fresh = self.step(np.repeat(root, len(symbols), axis=1), np.broadcast_to(symbols, (k, len(symbols))))
+        fresh = np.where(fresh < 0, root, fresh)  # [language, symbol]: where a piece begins
+        ends, left = np.zeros((k, len(cut)), np.int32), np.zeros((k, len(cut)), np.int32)  # pieces, state at the end
         order = np.argsort(-sizes, kind="stable")
         for at in range(0, len(order), LANES):
             pick = order[at : at + LANES]
             n = sizes[pick]
-            grid = np.zeros((int(n[0]), len(pick)), np.int32)
-            for j, i in enumerate(pick.tolist()):
-                d, a = cut[i]
-                grid[: n[j], j] = docs[d][a : a + SEGMENT]
             alive = np.searchsorted(-n, -np.arange(int(n[0])), "left")  # lanes longer than the step
-            state = np.repeat(self.roots[:, None], len(pick), axis=1)
-            ends = np.zeros((k, len(pick)), np.int32)
-            restart = flat[self.roots[:, None].astype(np.int64) * width + np.arange(width)]  # [k, width]
-            restart = np.where(restart < 0, self.roots[:, None], restart)
+            state, count = np.repeat(root, len(pick), axis=1), np.zeros((k, len(pick)), np.int32)
             for step in range(int(n[0])):
                 m = int(alive[step])
-                c = grid[step, :m]
-                new = flat[state[:, :m] * width + c]
+                c = flat[start[pick[:m]] + step]
+                new = self.step(state[:, :m], c)
                 stop = new < 0
-                ends[:, :m] += stop
-                state[:, :m] = np.where(stop, restart[:, c], new)
-            for lang in range(k):
-                out[:, lang] += np.bincount(owner[pick], ends[lang], minlength=len(docs)).astype(np.int64)
+                count[:, :m] += stop
+                state[:, :m] = np.where(stop, fresh[:, c], new)
+            ends[:, pick], left[:, pick] = count, state
+        number = np.arange(len(cut)) - np.searchsorted(owner, owner)  # of the segment in its text
+        for j in range(1, int(number.max(initial=0)) + 1):
+            seg = np.flatnonzero(number == j)
+            lang, lane = (x.ravel() for x in np.meshgrid(np.arange(k), seg, indexing="ij"))
+            true, guess, step = left[lang, lane - 1], self.roots[lang], 0
+            on = np.flatnonzero(true != guess)
+            lang, lane, true, guess = lang[on], lane[on], true[on], guess[on]
+            while len(lane):
+                c = flat[start[lane] + step]
+                for own, sign in ((true, 1), (guess, -1)):
+                    new = self.step(own, c)
+                    stop = new < 0
+                    ends[lang[stop], lane[stop]] += sign  # lanes are there once
+                    own[:] = np.where(stop, fresh[lang, c], new)
+                step += 1
+                over = (step >= sizes[lane]) & (true != guess)
+                left[lang[over], lane[over]] = true[over]
+                on = np.flatnonzero((true != guess) & ~over)
+                lang, lane, true, guess = lang[on], lane[on], true[on], guess[on]
+        for x in range(k):
+            out[:, x] = np.bincount(owner, ends[x], minlength=len(docs)).astype(np.int64)
         return out
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
@@ -162,21 +236,34 @@ class CrossParser:
 
 
 def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_chars: int = TRAIN_CHARS) -> CrossParser:
-    """Fit on about ``train_docs`` hash-chosen labelled documents of each language, ``train_chars`` letters of them at most."""
-    labelled = docs.where(F.col("lang").isNotNull() & (fold("doc_id") != 2))
-    rates = {r["lang"]: train_docs / r["count"] for r in labelled.groupBy("lang").count().collect()}  # a row per language
+    """Fit on hash-chosen labelled documents of each language, whole texts of ``train_chars`` characters together at most.
+
+    About ``train_docs`` texts of a language that are not longer than that reach the
+    driver; a text that would exceed the bound is passed over for the next. A language
+    that has only longer texts is fitted on its shortest. Rows without a language, and
+    those of the held-out fold, are never used; null and empty texts teach nothing;
+    repeated rows count as often as they are there; a table without labels gives a
+    model that knows no language.
+    """
+    labelled = docs.where(F.col("lang").isNotNull() & (fold("doc_id") != 2)).select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text"))
+    fits = F.length("text") <= train_chars
+    rates = {r["lang"]: train_docs / max(1, r["n"]) for r in labelled.groupBy("lang").agg(F.sum(fits.cast("long")).alias("n")).collect()}  # a row per language
     if not rates:
         return CrossParser({})
     rate = F.element_at(F.create_map(*[F.lit(x) for kv in rates.items() for x in kv]), F.col("lang"))
+    chance = uniform(F.col("doc_id"), F.lit("language"))
     texts: dict[str, list[str]] = {}
-    sample = labelled.where(uniform(F.col("doc_id"), F.lit("language")) < rate).select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text"))
-    for r in sorted(sample.collect(), key=lambda r: (r["lang"], r["doc_id"], r["text"])):
-        texts.setdefault(r["lang"], []).append(r["text"])
-    # a rare language may have missed the sample by chance
-    for lang in set(rates) - set(texts):
-        texts[lang] = [r["text"] or "" for r in labelled.where(F.col("lang") == lang).orderBy("doc_id").limit(train_docs).select("text").collect()]
-    spread = {k: [t[: max(200, train_chars // 12)] for t in v] for k, v in texts.items()}  # no text is more than a small part of the sample
-    return CrossParser(spread, train_chars)
+    room = dict.fromkeys(rates, train_chars)
+    sample = labelled.where(fits & (chance < rate)).select("lang", "text", chance.alias("chance"), "doc_id")
+    for r in sorted(sample.collect(), key=lambda r: (r["lang"], r["chance"], r["doc_id"] is None, r["doc_id"], r["text"])):
+        if len(r["text"]) <= room[r["lang"]]:
+            texts.setdefault(r["lang"], []).append(r["text"])
+            room[r["lang"]] -= len(r["text"])
+    # a rare language may have missed the sample by chance, or have longer texts only
+    for lang in sorted(set(rates) - {k for k, v in texts.items() if any(map(str.strip, v))}):
+        some = labelled.where((F.col("lang") == lang) & (F.trim("text") != "")).orderBy(F.length("text"), "text").limit(1)
+        texts[lang] = [r["text"] for r in some.select("text").collect()]
+    return CrossParser(texts)
 
 
 def identify(docs: DataFrame, model: CrossParser, id_col: str = "doc_id") -> DataFrame:
@@ -190,23 +277,30 @@ def identify(docs: DataFrame, model: CrossParser, id_col: str = "doc_id") -> Dat
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                lang, score = own.predict(part.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
+        for part in by_bytes(batches, 1, BATCH_BYTES):
+            lang, score = own.predict(part.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
+        trim()
 
     out = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return docs.select(F.col(id_col).cast("long"), "text").mapInArrow(parse, out)
+    return bounded(docs).select(F.col(id_col).cast("long"), "text").mapInArrow(parse, out)
 
 
-def identified(docs: DataFrame, model: CrossParser) -> DataFrame:
-    """The rows of ``docs``, whole and without a shuffle, whose text has a language (is not ``und``)."""
+def identified(docs: DataFrame, model: CrossParser, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, whole and without a shuffle, whose text has a language (is not ``und``).
+
+    Null texts and texts without a letter go, as does everything if nothing was
+    learned; repeated rows stay as often as they are there; an empty table gives an
+    empty result; all columns are kept, whatever their names.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("string")
-    def lang_of(texts: pd.Series) -> pd.Series:
-        parts = [shared.value.predict(texts.iloc[a : a + 1000].tolist())[0] for a in range(0, len(texts), 1000)]
-        return pd.Series([x for p in parts for x in p], dtype="object")
-
-    return docs.where(lang_of("text") != "und")
+    def lang_of(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in columns:
+            size = max(1, int(len(texts) * BATCH_BYTES / max(BATCH_BYTES, texts.str.len().sum())))
+            parts = [shared.value.predict([t if isinstance(t, str) else None for t in texts.iloc[a : a + size]])[0] for a in range(0, len(texts), size)]
+            yield pd.Series([x for p in parts for x in p], dtype="object")
+        trim()
+
+    return bounded(docs).where(lang_of(text_col) != "und")
