@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import mix, ranges, release, stage, trim, utf8
+from .shared import among, mix, ranges, release, stage, trim, utf8
 
 SHINGLE = 5
 SLOTS = 100
@@ -326,7 +326,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     pairs = members.join(lead, "key").where(apt).select("rep", "f1", "leader", "leader_f1", F.col("rep").alias("ca"), F.col("leader").alias("cb"))
     wanted = stage(members.select("rep").distinct(), "near-wanted")
     # a set is there as often as its row; other texts of a wanted id are there too, which are tied to it anyway
-    sets = stage(texts.join(wanted, texts["doc_id"] == wanted["rep"]).select("doc_id", "text").mapInArrow(_expand, _SETS), "near-sets")
+    sets = stage(texts.where(among(wanted, "rep")(F.col("doc_id"))).join(wanted, F.col("doc_id") == F.col("rep")).select("doc_id", "text").mapInArrow(_expand, _SETS), "near-sets")
     links = verified(stage(pairs.distinct(), "near-pairs"), sets, percent)
     labels = components(links.unionAll(ties))
     # leaders are through with their bucket
@@ -376,8 +376,10 @@ def one_of_each_group(docs: DataFrame, percent: int = 80, id_col: str = "doc_id"
     several = stage(found.join(groups, "group", "left_semi").join(rows.select("doc_id", "id").distinct(), "doc_id"), "one-several")
     first = several.groupBy("group").agg(F.min(F.struct(F.col("id").isNull(), "id", "doc_id")).alias("least")).select(F.col("least.doc_id").alias("doc_id"), F.lit(True).alias("first"))
     fate = stage(several.join(first, "doc_id", "left").select("doc_id", F.coalesce("first", F.lit(False)).alias("first"), "rows"), "one-fate")
-    gone, repeated = fate.where(~F.col("first")).select("doc_id"), fate.where("first and rows > 1").select("doc_id")
+    # most rows are in no group and stay where they are
     inner = docs.toDF(*(f"c{k}" for k in range(len(docs.columns)))).withColumn("doc_id", F.xxhash64(F.col(f"c{docs.columns.index(id_col)}").cast("long"), F.col(f"c{docs.columns.index(text_col)}")))
-    left = inner.join(gone, "doc_id", "left_anti")
-    once = left.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return left.join(repeated, "doc_id", "left_anti").unionByName(once).drop("doc_id").toDF(*docs.columns)
+    rows = inner.withColumn("some", among(fate, "doc_id")(F.col("doc_id")))
+    some = rows.where("some").join(fate, "doc_id", "left").where("first is null or first")
+    once = some.withColumn("own", F.when(F.col("first").isNull(), F.monotonically_increasing_id())).dropDuplicates(["doc_id", "own"])
+    own = [f"c{k}" for k in range(len(docs.columns))]
+    return rows.where("not some").select(own).unionAll(once.select(own)).toDF(*docs.columns)

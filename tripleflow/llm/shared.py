@@ -7,15 +7,17 @@ import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
 ARROW_BYTES = 8_000_000
+FILTER_BITS = 1 << 27
 _ARROW = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
@@ -83,6 +85,29 @@ def utf8(array: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return data[offs[0] : offs[-1]], offs - offs[0]
 
 
+def among(keys: DataFrame, key: str) -> Callable[[Column], Column]:
+    """A test that is true of every value of the long column ``key`` of ``keys`` and false of most others.
+
+    It keeps rows that can't match out of a join's shuffle. The bit set that is
+    broadcast has at most FILTER_BITS bits (16 MB), whatever the number of keys: with
+    more keys it lets more rows through, so the join itself still has to decide.
+    """
+    n = keys.count()
+    bits = min(FILTER_BITS, 1 << max(16, (16 * n - 1).bit_length()))
+    at = F.pmod(F.xxhash64(F.col(key)), F.lit(bits))
+    words = keys.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int"))).alias("set")).collect()  # bits / 64 rows at most
+    table = np.zeros(bits // 64, np.int64)
+    table[[r["word"] for r in words]] = [r["set"] for r in words]
+    shared = keys.sparkSession.sparkContext.broadcast(table)
+
+    @F.pandas_udf("boolean")
+    def there(places: pd.Series) -> pd.Series:
+        x = places.to_numpy()
+        return pd.Series((shared.value[x >> 6] >> (x & 63)) & 1 == 1)
+
+    return lambda value: there(F.pmod(F.xxhash64(value), F.lit(bits)))
+
+
 def by_bytes(batches: Iterator[pa.RecordBatch], column: int, most: int) -> Iterator[pa.RecordBatch]:
     """The same rows in batches whose ``column`` of texts has at most ``most`` bytes, or one row."""
     for batch in batches:
