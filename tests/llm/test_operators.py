@@ -299,40 +299,58 @@ def test_contamination_on_odd_rows(spark, odd, empty):
 # --- 2
 
 
-def test_cross_entropy(spark, docs, rows, empty, odd):
-    target = spark.createDataFrame([(k, 0, r[1]) for k, r in enumerate(rows[:20])], "conv_id long, turn int, text string")
-    found = {r.doc_id: r for r in lm.cross_entropy_difference(docs, target).collect()}
-    assert {k: r.n_words for k, r in found.items()} == {r[0]: len((r[1] or "").split()) for r in rows}
-    assert all((r.score is None) == (r.n_words == 0) for r in found.values())
-    # a target like the first half prefers it
-    low = [r.score for k, r in found.items() if 7 <= k < 20 and r.n_words >= 20]
-    high = [r.score for k, r in found.items() if k >= 20 and r.n_words >= 20]
-    assert np.mean(low) < np.mean(high) + 1
+def brute_cross_entropy(rows, target):
+    """(id, text) of both: {id: (n_words, target_loss, background_loss)}; every word is in the vocabulary."""
+    words = lambda t: re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().translate(near_dup._LOWER))
+    fold = lambda i: 0 if i is None else i % 2
+    uni, ctx, bi = [Counter() for _ in range(4)], [Counter() for _ in range(4)], [Counter() for _ in range(4)]
+    for k, table in ((0, rows), (2, target)):
+        for i, t in table:
+            w = words(t)
+            uni[k + fold(i)].update(w)
+            ctx[k + fold(i)].update([None, *w][: len(w)])
+            bi[k + fold(i)].update(zip([None, *w], w, strict=False))
+    total, places, out = [sum(x.values()) for x in uni], len(set().union(*uni)) + 1, {}
+    for i, t in rows:
+        w, other = words(t), 1 - fold(i)
+        own = out.setdefault(i, [0, 0.0, 0.0])
+        own[0] += len(w)
+        for v, x in zip([None, *w], w, strict=False):
+            for m, kind in ((1, other + 2), (2, other)):
+                r = 1.0 if m == 1 else total[other + 2] / total[other] if total[other] else 0.0
+                single = (uni[kind][x] * r + lm.ADD) / (total[kind] * r + lm.ADD * places)
+                own[m] -= np.log2((bi[kind][v, x] * r + lm.PRIOR * single) / (ctx[kind][v] * r + lm.PRIOR))
+    return {i: (n, *(pytest.approx(x / n, abs=2e-6) if n else None for x in (t, b))) for i, (n, t, b) in out.items()}
+
+
+@pytest.mark.parametrize("share", [500, 20])
+def test_cross_entropy(spark, docs, rows, empty, odd, monkeypatch, share):
+    monkeypatch.setattr(lm, "HEAVY_SHARE", share)
+    monkeypatch.setattr(lm, "BUCKET_WORDS", 4000)
+    conversations = [(k, r[1]) for k, r in enumerate(rows[:20])] + [(None, "a null id"), (21, None)]
+    target = spark.createDataFrame([(i, 0, t) for i, t in conversations], "conv_id long, turn int, text string")
+    for own in (docs, odd):
+        found = {r.doc_id: (r.n_words, r.target_loss, r.background_loss) for r in lm.cross_entropy_difference(own, target).collect()}
+        assert found == brute_cross_entropy([(r.doc_id, r.text) for r in own.select("doc_id", "text").collect()], conversations)
     assert lm.cross_entropy_difference(empty, target.limit(0)).count() == 0
     assert lm.cross_entropy_difference(odd, target.limit(0)).count() == 4  # null, 7, 8, 9
 
 
 def test_probabilities_sum_to_one():
     r = np.random.default_rng(2)
-    words = [bytes([97 + i]) for i in range(5)]
-    seqs = [(k, r.integers(0, 7, 40)) for k in range(4) for _ in range(5)]
-    counts, ends, totals, texts = np.zeros((4, 5), int), np.zeros((4, 5), int), np.zeros(4, int), np.zeros(4, int)
-    pairs = np.zeros((4, 7, 7), int)
+    words, seqs = 5, [(k, r.integers(1, 6, 40)) for k in range(4) for _ in range(5)]
+    counts, ends, totals, texts = np.zeros((4, words), int), np.zeros((4, words), int), np.zeros(4, int), np.zeros(4, int)
+    pairs = np.zeros((4, words + 1, words + 1), int)
     for k, s in seqs:
-        ids = np.where(s < 5, s + 2, 0)
-        prev = np.concatenate(([1], ids[:-1]))
-        np.add.at(pairs[k], (prev, ids), 1)
-        np.add.at(counts[k], ids[ids > 1] - 2, 1)
-        totals[k] += len(ids)
+        np.add.at(pairs[k], (np.concatenate(([0], s[:-1])), s), 1)
+        np.add.at(counts[k], s - 1, 1)
+        totals[k] += len(s)
         texts[k] += 1
-        if ids[-1] > 1:
-            ends[k][ids[-1] - 2] += 1
-    m = lm.Models(words, counts, ends, totals, texts, 7)
-    v, w = np.divmod(np.arange(49), 7)
-    for x in m.losses(0, v, w, pairs.reshape(4, -1)):
-        p = np.exp2(-x).reshape(7, 7)
-        p[:, 1] = 0  # the start never follows
-        assert np.allclose(p.sum(axis=1), 1)
+        ends[k][s[-1] - 1] += 1
+    m = lm.Models([b"%d" % k for k in range(words)], counts, ends, totals, texts, words + 1)
+    # the place before a text never follows; in its stead a word that never occurs has what is left
+    for own, context in zip(m.word_share(0, pairs, m.unigram[:, None, :]), m.context_share(0, m.context), strict=True):
+        assert np.allclose(np.exp2(-(own + context[:, None])).sum(axis=1), 1)
 
 
 # --- 4

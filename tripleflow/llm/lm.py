@@ -1,14 +1,18 @@
 """Cross-entropy difference under matched target and background bigram models.
 
 Both models have one vocabulary, one smoothing and one size: background counts are
-scaled to the target's number of words. Counts cover every word of both tables.
-
-The vocabulary is the words with at least 1/VOCAB_SHARE of all words, hence at most
-VOCAB_SHARE of them, whatever the size of the corpus; all others are one unknown
-word. Bigrams of two words that each have 1/HEAVY_SHARE of all words are counted in
-one dense table of at most HEAVY_SHARE squared cells. No other bigram can have more
-than 1/HEAVY_SHARE of all, so hashing those into buckets leaves no hot bucket.
-Counting and scoring of a bucket happen in the same task.
+scaled to the target's number of words. Counts cover every word of both tables, and
+the vocabulary is every word that occurs in either, so it grows with the corpus.
+
+What a word costs parts into a share of the bigram, which takes the counts of the
+bigram and of the word, and a share of the word as context of the next one. Both are
+known where all occurrences of the word meet, so words are dealt into buckets by their
+hash. Only the HEAVY_SHARE words at most that have 1/HEAVY_SHARE of all each are known
+everywhere, with the counts of their bigrams with each other in one dense table; their
+other bigrams are dealt by the hash of both words. A bucket first reads what each chunk
+of texts has counted (a key has a row in a chunk, however often it occurs there), then
+the occurrences, chunk by chunk, so its memory depends on its keys and not on how
+common they are. Words are known by 64 bits, the contexts of a word by 48.
 """
 
 from __future__ import annotations
@@ -19,16 +23,17 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import mix, stage, utf8
+from .shared import bounded, mix, release, stage, trim, utf8
 
-VOCAB_SHARE = 200_000
 HEAVY_SHARE = 500
 PRIOR = 50.0  # words of unigram evidence that every context starts with
 ADD = 0.5  # added to every unigram count
-CHUNK_WORDS = 700_000
+CHUNK_WORDS = 400_000
+KNOWN_WORDS = 150_000  # hashes that a worker remembers
 BUCKET_WORDS = 2_000_000
 HOME_WORDS = 3_000_000  # of the texts whose sums meet in one task
 FLUSH = 200_000
@@ -95,85 +100,90 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from flush()
 
 
+START = 0  # number of the place before a text; heavy words are 1, 2, ...; all other words have numbers from 2 ** 16 on
+
+
+class WordNumbers(dict):
+    """Numbers of words; forgets all when it has many."""
+
+    def __init__(self, heavy: list[bytes]):
+        self.heavy = {w: k + 1 for k, w in enumerate(heavy)}
+        super().__init__(self.heavy)
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > KNOWN_WORDS:
+            self.clear()
+            self.update(self.heavy)
+        value = self[word] = xxhash.xxh64_intdigest(word) | 1 << 16
+        return value
+
+
 class Models:
-    """What every executor knows: vocabulary, unigram and context counts, bigram counts of heavy words.
+    """What every executor knows: sizes, counts of heavy words, and of their bigrams. Arrays have a row for each kind."""
 
-    Word 0 is any word out of the vocabulary, word 1 the place before a text; the next
-    ``heavy`` - 2 are the heavy words. Arrays have a row for each kind.
-    """
+    def __init__(self, heavy: list[bytes], unigram: np.ndarray, ends: np.ndarray, totals: np.ndarray, texts: np.ndarray, places: int):
+        self.heavy, self.totals, self.texts, self.places = heavy, totals, texts, places
+        self.unigram = np.concatenate((np.zeros((4, 1), np.int64), unigram), axis=1)
+        self.context = np.concatenate((texts[:, None], unigram - ends), axis=1)
+        self.width = len(heavy) + 1
+        self.pairs = np.zeros((4, self.width, self.width), np.int64)
 
-    def __init__(self, words: list[bytes], counts: np.ndarray, ends: np.ndarray, totals: np.ndarray, texts: np.ndarray, heavy: int):
-        self.words, self.heavy = words, heavy
-        self.unigram = np.concatenate((totals[:, None] - counts.sum(axis=1, keepdims=True), np.zeros((4, 1), np.int64), counts), axis=1)
-        inside = self.unigram.copy()
-        inside[:, 2:] -= ends
-        inside[:, 0] -= texts - ends.sum(axis=1)
-        inside[:, 1] = texts
-        self.context, self.totals = inside, totals
-        self.size = len(words) + 2
-        self.bits = max(1, (self.size * self.size - 1).bit_length())
-        self.pairs = np.zeros((4, heavy, heavy), np.int64)
-        self._ids: dict[bytes, int] | None = None
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"_ids": None}
-
-    def symbols(self, words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(word before, word, text) of every word."""
-        if self._ids is None:
-            self._ids = {w: i + 2 for i, w in enumerate(self.words)}
-        get, sizes = self._ids.get, np.array([len(w) for w in words], np.int64)
-        total = int(sizes.sum())
-        cur = np.fromiter((get(w, 0) for own in words for w in own), np.int64, total)
-        prev = np.empty(total, np.int64)
-        prev[1:] = cur[:-1]
-        starts = (np.cumsum(sizes) - sizes)[sizes > 0]
-        prev[starts] = 1
-        return prev, cur, np.repeat(np.arange(len(words)), sizes)
-
-    def losses(self, fold: int, v: np.ndarray, w: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Bits that words of texts of ``fold`` cost under either model of the other fold; pairs: counts by kind."""
+    def scale(self, fold: int) -> list[tuple[int, float]]:
+        """(kind, factor of its counts) of the target and background models that score texts of ``fold``."""
         other = 1 - fold
-        scale = self.totals[other + 2] / self.totals[other] if self.totals[other] else 0.0
+        return [(other + 2, 1.0), (other, self.totals[other + 2] / self.totals[other] if self.totals[other] else 0.0)]
+
+    def word_share(self, fold: int, pairs: np.ndarray, unigram: np.ndarray) -> list[np.ndarray]:
+        """Bits by model: less those of the context."""
         out = []
-        for kind, r in ((other + 2, 1.0), (other, scale)):
-            single = (self.unigram[kind][w] * r + ADD) / (self.totals[kind] * r + ADD * (self.size - 1))
-            out.append(-np.log2((pairs[kind] * r + PRIOR * single) / (self.context[kind][v] * r + PRIOR)))
-        return out[0], out[1]
+        for kind, r in self.scale(fold):
+            single = (unigram[kind] * r + ADD) / (self.totals[kind] * r + ADD * self.places)
+            out.append(-np.log2(pairs[kind] * r + PRIOR * single))
+        return out
+
+    def context_share(self, fold: int, context: np.ndarray) -> list[np.ndarray]:
+        return [np.log2(context[kind] * r + PRIOR) for kind, r in self.scale(fold)]
 
-    def heavy_losses(self) -> np.ndarray:
-        """[fold, model, word before, word]"""
-        v, w = np.divmod(np.arange(self.heavy**2), self.heavy)
-        flat = self.pairs.reshape(4, -1)
-        return np.array([self.losses(f, v, w, flat) for f in (0, 1)]).reshape(2, 2, self.heavy, self.heavy)
+
+def symbols(numbers: WordNumbers, words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(word before, word, text, whether the text ends with it) of every word."""
+    sizes = np.array([len(w) for w in words], np.int64)
+    cur = np.fromiter((numbers[w] for own in words for w in own), np.uint64, int(sizes.sum()))
+    prev = np.empty(len(cur), np.uint64)
+    prev[1:] = cur[:-1]
+    ends = np.cumsum(sizes)[sizes > 0]
+    prev[ends - sizes[sizes > 0]] = START
+    last = np.zeros(len(cur), bool)
+    last[ends - 1] = True
+    return prev, cur, np.repeat(np.arange(len(words)), sizes), last
 
 
 def train(both: DataFrame) -> Models:
-    """Vocabulary and counts over all rows; at most VOCAB_SHARE words and HEAVY_SHARE ** 2 pairs reach the driver."""
+    """Counts over all rows; at most HEAVY_SHARE words and HEAVY_SHARE ** 2 pairs of them reach the driver."""
     parts = both.mapInArrow(_count_words, "word string, kind int, n long")
     counts = stage(parts.groupBy("word").agg(*[F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(f"k{k}") for k in range(8)]), "lm-words")
-    sums = counts.agg(*[F.coalesce(F.sum(f"k{k}"), F.lit(0)).alias(f"k{k}") for k in range(8)]).first()
-    total = sum(sums[k] for k in range(4))
+    sums = counts.agg(F.count(F.lit(1)).alias("words"), *[F.coalesce(F.sum(f"k{k}"), F.lit(0)).alias(f"k{k}") for k in range(8)]).first()
+    total = sum(sums[k + 1] for k in range(4))
     n = F.col("k0") + F.col("k1") + F.col("k2") + F.col("k3")
-    rows = counts.where(n * VOCAB_SHARE >= total).withColumn("n", n).collect()
+    rows = counts.where(n * HEAVY_SHARE >= total).withColumn("n", n).collect()
+    release(counts)
     rows.sort(key=lambda r: (-r["n"], r["word"]))
     table = np.array([[r[f"k{k}"] for k in range(8)] for r in rows], np.int64).reshape(-1, 8).T
-    heavy = 2 + sum(r["n"] * HEAVY_SHARE >= total for r in rows)
-    models = Models([r["word"].encode() for r in rows], table[:4], table[4:], np.array(sums[:4], np.int64), np.array(sums[4:], np.int64), heavy)
+    models = Models([r["word"].encode() for r in rows], table[:4], table[4:], np.array(sums[1:5], np.int64), np.array(sums[5:], np.int64), sums["words"] + 1)
     shared = both.sparkSession.sparkContext.broadcast(models)
 
     def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        h = own.heavy
+        h, numbers = shared.value.width, WordNumbers(shared.value.heavy)
         seen = np.zeros(4 * h * h, np.int64)
         for _, kinds, words in _chunks(batches):
-            prev, cur, text = own.symbols(words)
+            prev, cur, text, _ = symbols(numbers, words)
             both_heavy = (prev < h) & (cur < h)
-            key = (kinds[text[both_heavy]].astype(np.int64) * h + prev[both_heavy]) * h + cur[both_heavy]
+            key = (kinds[text[both_heavy]].astype(np.int64) * h + prev[both_heavy].astype(np.int64)) * h + cur[both_heavy].astype(np.int64)
             seen += np.bincount(key, minlength=len(seen))
         some = np.flatnonzero(seen)
         for a in range(0, len(some), 50_000):
             yield pa.RecordBatch.from_arrays([pa.array(some[a : a + 50_000]), pa.array(seen[some[a : a + 50_000]])], names=["key", "n"])
+        trim()
 
     flat = models.pairs.ravel()
     for r in both.mapInArrow(count_pairs, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).collect():
@@ -203,6 +213,64 @@ def _unpack(raw: bytes, *kinds: type) -> list[np.ndarray]:
     return out
 
 
+_KEYS = (np.uint64, np.uint32, np.uint64, np.uint8, np.uint32, np.uint32, np.uint8, np.uint32)
+_48 = np.uint64((1 << 48) - 1)
+
+
+def _chunk_keys(v: np.ndarray, w: np.ndarray, kind: np.ndarray, last: np.ndarray) -> bytes:
+    """What a chunk has counted, of occurrences sorted by word, context and kind: words, their numbers of (context, kind), those
+    with their counts, and the text ends: word, kind, count."""
+    new_w = np.concatenate(([True], w[1:] != w[:-1]))
+    new = new_w | np.concatenate(([True], (v[1:] != v[:-1]) | (kind[1:] != kind[:-1])))
+    at, word = np.flatnonzero(new), np.cumsum(new_w) - 1
+    ends, n = np.unique(word[last] * 4 + kind[last], return_counts=True)
+    of_word = np.bincount(word[at], minlength=int(word[-1]) + 1)
+    counted = (w[new_w], of_word.astype(np.uint32), v[at], kind[at], np.diff(np.append(at, len(w))).astype(np.uint32), (ends // 4).astype(np.uint32), (ends % 4).astype(np.uint8), n.astype(np.uint32))
+    return _pack(*counted)
+
+
+class Bucket:
+    """Costs of the words that meet in a bucket, from what all chunks have counted."""
+
+    def __init__(self, models: Models, keys: list[tuple[int, list[np.ndarray]]]):
+        words, place = np.unique(np.concatenate([k[0] for _, k in keys]), return_inverse=True)
+        sizes = [len(k[0]) for _, k in keys]
+        places = np.split(place, np.cumsum(sizes)[:-1])
+        word = np.concatenate([np.repeat(p, k[1]) for p, (_, k) in zip(places, keys, strict=True)])
+        v, kind, n = (np.concatenate([k[j] for _, k in keys]) for j in (2, 3, 4))
+        turn = np.lexsort((v, word))
+        new = np.concatenate(([True], (np.diff(word[turn]) != 0) | (np.diff(v[turn]) != 0)))
+        pair = np.empty(len(turn), np.int64)
+        pair[turn] = np.cumsum(new) - 1
+        pairs = int(pair.max()) + 1
+        of_pair = word[turn][new]
+        counts = np.bincount(pair * 4 + kind, n, minlength=4 * pairs).reshape(pairs, 4).T
+        unigram = np.bincount(word * 4 + kind, n, minlength=4 * len(words)).reshape(-1, 4).T
+        ends = np.bincount(np.concatenate([p[k[5]] * 4 + k[6] for p, (_, k) in zip(places, keys, strict=True)]), np.concatenate([k[7] for _, k in keys]), minlength=4 * len(words)).reshape(-1, 4).T
+        context = unigram - ends
+        heavy = np.flatnonzero(words < models.width)
+        number = words[heavy].astype(np.int64)
+        unigram[:, heavy], context[:, heavy] = models.unigram[:, number], models.context[:, number]
+        self.last = [models.word_share(f, counts, unigram[:, of_pair]) for f in (0, 1)]
+        self.context = [[c[of_pair] for c in models.context_share(f, context)] for f in (0, 1)]
+        # of each chunk the pairs of its occurrences: those of documents only, in runs
+        self.runs, at = {}, 0
+        for chunk, k in keys:
+            own = slice(at, at + len(k[2]))
+            mine = kind[own] < 2
+            self.runs[chunk] = (pair[own][mine].astype(np.int32), n[own][mine].astype(np.int32))
+            at += len(k[2])
+
+    def costs(self, chunk: int, fold: np.ndarray, doc: np.ndarray, last: np.ndarray) -> list[np.ndarray]:
+        pair, odd = np.repeat(*self.runs[chunk]), fold[doc] == 1
+        out = []
+        for m in (0, 1):
+            cost = np.where(odd, self.last[1][m][pair], self.last[0][m][pair])
+            cost += np.where(last, 0.0, np.where(odd, self.context[1][m][pair], self.context[0][m][pair]))
+            out.append(np.bincount(doc, cost, minlength=len(fold)))
+        return out
+
+
 def cross_entropy_difference(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", target_id: str = "conv_id") -> DataFrame:
     """Bits per word of every whole text of ``docs`` under both models, and their difference.
 
@@ -216,51 +284,61 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, id_col: str = "
     Returns id, n_words, target_loss, background_loss, score (target_loss less
     background_loss), rounded to 6 places.
     """
-    both = _both(docs, target, id_col, target_id)
+    both = _both(bounded(docs), target, id_col, target_id)
     models = train(both)
     total = int(models.totals.sum())
-    top = max(models.bits - 32, int(np.ceil(np.log2(max(1.0, total / BUCKET_WORDS)))), 0)
-    bits = max(models.bits, top)
+    top = int(np.ceil(np.log2(max(1.0, total / BUCKET_WORDS))))
     homes = max(1, -(-total // HOME_WORDS))
-    low, mask = bits - top, (1 << bits) - 1
-    odd = _ODD & mask | 1
-    back = pow(odd, -1, 1 << bits)
     shared = docs.sparkSession.sparkContext.broadcast(models)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        known, h = own.heavy_losses(), own.heavy
+        from pyspark import TaskContext
+
+        own, numbers = shared.value, WordNumbers(shared.value.heavy)
+        h, chunk = own.width, TaskContext.get().partitionId() << 32
+        known = [[n + c[None, :] for n, c in zip(own.word_share(f, own.pairs, own.unigram[:, None, :]), own.context_share(f, own.context), strict=True)] for f in (0, 1)]
+        ending = [own.word_share(f, own.pairs, own.unigram[:, None, :]) for f in (0, 1)]
+        begin = [own.context_share(f, own.context[:, 0]) for f in (0, 1)]
         for ids, kinds, words in _chunks(batches):
-            order = np.argsort(ids, kind="stable")
-            ids, kinds, words = ids[order], kinds[order], [words[i] for i in order.tolist()]
-            prev, cur, text = own.symbols(words)
+            chunk += 1
+            prev, cur, text, last = symbols(numbers, words)
+            kinds = kinds.astype(np.int64)
             both_heavy = (prev < h) & (cur < h)
-            sums = []
-            fold = kinds[text[both_heavy]] & 1
-            for m in (0, 1):
-                sums.append(np.bincount(text[both_heavy], known[fold, m, prev[both_heavy], cur[both_heavy]], minlength=len(ids)))
             mine = kinds < 2
             sizes = np.array([len(w) for w in words], np.int64)
-            step = np.diff(ids, prepend=0)
-            parts, bodies = [int(abs(int(ids[0]))) % (1 << top)], [b"h" + _pack(ids[mine], sizes[mine], sums[0][mine], sums[1][mine])]
-            key = (prev[~both_heavy] * own.size + cur[~both_heavy]).astype(np.uint64) * np.uint64(odd) & np.uint64(mask)
-            doc = text[~both_heavy]
-            turn = np.argsort(key, kind="stable")
-            key, doc = key[turn], doc[turn]
-            cut = np.searchsorted(key, np.arange(1, 1 << top, dtype=np.uint64) << np.uint64(low))
-            narrow = np.uint16 if len(ids) <= 65536 else np.uint32
-            rest = (key & np.uint64((1 << low) - 1)).astype(np.uint32)
-            for p, (a, b) in enumerate(zip(np.append(0, cut).tolist(), np.append(cut, len(key)).tolist(), strict=True)):
-                if b > a:
+            v, w, at = prev[both_heavy].astype(np.int64), cur[both_heavy].astype(np.int64), text[both_heavy]
+            fold, over = kinds[at] & 1, last[both_heavy]
+            sums = []
+            for m in (0, 1):
+                cost = np.where(fold == 0, np.where(over, ending[0][m][v, w], known[0][m][v, w]), np.where(over, ending[1][m][v, w], known[1][m][v, w]))
+                first = np.where(sizes > 0, np.where((kinds & 1) == 0, begin[0][m], begin[1][m]), 0.0)
+                sums.append(np.bincount(at, cost, minlength=len(ids)) + first)
+            parts, phases, bodies = [chunk % (1 << top)], [2], [_pack(ids[mine], sizes[mine], sums[0][mine], sums[1][mine])]
+            rest = np.flatnonzero(~both_heavy)
+            v, w, doc, over = prev[rest] & _48, cur[rest], text[rest], last[rest]
+            kind = kinds[doc].astype(np.uint8)
+            place = mix(np.where(w < h, mix(prev[rest] ^ w * np.uint64(_ODD)), w))
+            part = (place >> np.uint64(64 - top)).astype(np.int64) if top else np.zeros(len(w), np.int64)
+            turn = np.lexsort((kind, v, w, part))
+            v, w, doc, over, kind, part = (x[turn] for x in (v, w, doc, over, kind, part))
+            cut = np.searchsorted(part, np.arange((1 << top) + 1))
+            for p in np.flatnonzero(np.diff(cut)).tolist():
+                x = slice(cut[p], cut[p + 1])
+                parts.append(p)
+                phases.append(0)
+                bodies.append(_chunk_keys(v[x], w[x], kind[x], over[x]))
+                some = np.flatnonzero(mine[doc[x]])
+                if len(some):
+                    there, local = np.unique(doc[x][some], return_inverse=True)
+                    narrow = np.uint16 if len(there) <= 65536 else np.uint32
                     parts.append(p)
-                    bodies.append((b"2" if narrow is np.uint16 else b"4") + _pack(step, kinds.astype(np.uint8), rest[a:b], doc[a:b].astype(narrow)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(parts, np.int32)), pa.array(bodies, pa.binary())], names=["part", "body"])
+                    phases.append(1)
+                    bodies.append(np.int64(narrow == np.uint32).tobytes() + _pack(np.diff(ids[there], prepend=0), (kinds[there] & 1).astype(np.uint8), local.astype(narrow), np.packbits(over[x][some])))
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(parts, np.int32)), pa.array(np.array(phases, np.int32)), pa.array(np.full(len(parts), chunk)), pa.array(bodies, pa.binary())], names=["part", "phase", "chunk", "body"])
+        trim()
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        own, part = shared.value, TaskContext.get().partitionId()
-        ids, kinds, keys, docs_, at = [], [], [], [], 0
+        own, keys, bucket = shared.value, [], None
 
         def out(i: np.ndarray, n: np.ndarray, t: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
             home = (mix(i.astype(np.uint64)) % np.uint64(homes)).astype(np.int64)
@@ -271,39 +349,20 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, id_col: str = "
             return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(bodies, pa.binary())], names=["part", "body"])
 
         for batch in batches:
-            for body in batch.column(1).to_pylist():
-                if body[:1] == b"h":
-                    yield out(*_unpack(body[1:], np.int64, np.int64, np.float64, np.float64))
-                    continue
-                step, kind, key, doc = _unpack(body[1:], np.int64, np.uint8, np.uint32, np.uint16 if body[:1] == b"2" else np.uint32)
-                there, place = np.unique(doc, return_inverse=True)
-                ids.append(np.cumsum(step)[there])
-                kinds.append(kind[there])
-                keys.append(key)
-                docs_.append((place + at).astype(np.int32))
-                at += len(there)
-        if not keys:
-            return
-        key, doc, kind, ids_ = np.concatenate(keys), np.concatenate(docs_), np.concatenate(kinds), np.concatenate(ids)
-        del keys, docs_
-        turn = np.argsort(key, kind="stable")
-        key, doc = key[turn], doc[turn]
-        new = np.ones(len(key), bool)
-        new[1:] = key[1:] != key[:-1]
-        group = np.cumsum(new) - 1
-        n = int(group[-1]) + 1
-        own_kind = kind[doc]
-        counts = np.bincount(group * 4 + own_kind, minlength=4 * n).reshape(n, 4).T
-        pair = ((key[new].astype(np.uint64) | np.uint64(part << low)) * np.uint64(back)) & np.uint64(mask)
-        v, w = np.divmod(pair.astype(np.int64), own.size)
-        t, b = np.zeros(len(ids_)), np.zeros(len(ids_))
-        for fold in (0, 1):
-            x, y = own.losses(fold, v, w, counts)
-            some = own_kind == fold
-            t += np.bincount(doc[some], x[group[some]], minlength=len(ids_))
-            b += np.bincount(doc[some], y[group[some]], minlength=len(ids_))
-        mine = kind < 2
-        yield out(ids_[mine], np.zeros(int(mine.sum()), np.int64), t[mine], b[mine])
+            for phase, chunk, body in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+                raw = body.as_buffer()
+                if phase == 0:
+                    keys.append((chunk, _unpack(raw, *_KEYS)))
+                elif phase == 2:
+                    yield out(*_unpack(raw, np.int64, np.int64, np.float64, np.float64))
+                else:
+                    if bucket is None:
+                        bucket, keys = Bucket(own, keys), []
+                    step, fold, local, over = _unpack(raw[8:], np.int64, np.uint8, np.uint32 if raw[:8] == b"\x01" + bytes(7) else np.uint16, np.uint8)
+                    ids = np.cumsum(step)
+                    t, b = bucket.costs(chunk, fold, local, np.unpackbits(over, count=len(local)).astype(bool))
+                    yield out(ids, np.zeros(len(ids), np.int64), t, b)
+        trim()
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [_unpack(body, np.int64, np.int64, np.float64, np.float64) for batch in batches for body in batch.column(1).to_pylist()]
@@ -314,7 +373,9 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, id_col: str = "
                 at = slice(k, k + 10_000)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(n[at].astype(np.int64)), pa.array(t[at]), pa.array(b[at])], names=["id", "n", "t", "b"])
 
-    scored = both.mapInArrow(deal, "part int, body binary").repartitionById(1 << top, "part").mapInArrow(score, "part int, body binary")
+    # in a bucket, what was counted comes before what is scored by it
+    dealt = both.mapInArrow(deal, "part int, phase int, chunk long, body binary").repartitionById(1 << top, "part").sortWithinPartitions("phase")
+    scored = dealt.mapInArrow(score, "part int, body binary")
     sums = scored.repartitionById(homes, "part").mapInArrow(add, "id long, n long, t double, b double")
     some = F.col("n") > 0
     return sums.select(
@@ -333,11 +394,9 @@ WITH texts AS (
         UNION ALL SELECT NULL, CAST(conv_id % 2 AS INT) + 2, text FROM conversations)),
 flat AS (SELECT r, id, kind, unnest(words) AS w, unnest(range(len(words))) AS p, len(words) AS size FROM texts),
 totals AS (SELECT kind, count(*) AS n, count(*) FILTER (p = 0) AS texts FROM flat GROUP BY kind),
-vocab AS (SELECT w FROM flat GROUP BY w HAVING count(*) * {VOCAB_SHARE} >= (SELECT sum(n) FROM totals)),
-places AS (SELECT count(*) + 1 AS v FROM vocab),
-known AS (SELECT r, id, kind, p, size, coalesce(vocab.w, '') AS w FROM flat LEFT JOIN vocab ON flat.w = vocab.w),
-chained AS (SELECT *, coalesce(lag(w) OVER (PARTITION BY r ORDER BY p), ' ') AS v FROM known),
-uni AS (SELECT w, kind, count(*) AS n FROM known GROUP BY ALL),
+places AS (SELECT count(DISTINCT w) + 1 AS v FROM flat),
+chained AS (SELECT *, coalesce(lag(w) OVER (PARTITION BY r ORDER BY p), ' ') AS v FROM flat),
+uni AS (SELECT w, kind, count(*) AS n FROM flat GROUP BY ALL),
 ctx AS (SELECT v, kind, count(*) AS n FROM chained GROUP BY ALL),
 bi AS (SELECT v, w, kind, count(*) AS n FROM chained GROUP BY ALL),
 asked AS (SELECT DISTINCT v, w, kind AS fold FROM chained WHERE kind < 2),
