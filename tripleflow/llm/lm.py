@@ -12,7 +12,8 @@ everywhere, with the counts of their bigrams with each other in one dense table;
 other bigrams are dealt by the hash of both words. A bucket first reads what each chunk
 of texts has counted (a key has a row in a chunk, however often it occurs there), then
 the occurrences, chunk by chunk, so its memory depends on its keys and not on how
-common they are. Words are known by 64 bits, the contexts of a word by 48.
+common they are. Words are known by 64 bits, the contexts of a word by 48, and in a
+bucket bigrams by 64.
 """
 
 from __future__ import annotations
@@ -37,6 +38,7 @@ KNOWN_WORDS = 150_000  # hashes that a worker remembers
 BUCKET_WORDS = 2_000_000
 HOME_WORDS = 3_000_000  # of the texts whose sums meet in one task
 FLUSH = 200_000
+OUT_ROWS = 1_000_000  # sums that a bucket holds back, to send them in few pieces
 NO_ID = -(1 << 63)
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _ODD = 0x9E3779B97F4A7C15
@@ -145,10 +147,11 @@ class Models:
         return [np.log2(context[kind] * r + PRIOR) for kind, r in self.scale(fold)]
 
 
-def symbols(numbers: WordNumbers, words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(word before, word, text, whether the text ends with it) of every word."""
+def symbols(numbers: dict[bytes, int], words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(word before, word, text, whether the text ends with it) of every word; without WordNumbers all unknown words have one number."""
+    get = numbers.__getitem__ if isinstance(numbers, WordNumbers) else lambda w: numbers.get(w, 1 << 16)
     sizes = np.array([len(w) for w in words], np.int64)
-    cur = np.fromiter((numbers[w] for own in words for w in own), np.uint64, int(sizes.sum()))
+    cur = np.fromiter(map(get, chain.from_iterable(words)), np.uint64, int(sizes.sum()))
     prev = np.empty(len(cur), np.uint64)
     prev[1:] = cur[:-1]
     ends = np.cumsum(sizes)[sizes > 0]
@@ -173,10 +176,10 @@ def train(both: DataFrame) -> Models:
     shared = both.sparkSession.sparkContext.broadcast(models)
 
     def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h, numbers = shared.value.width, WordNumbers(shared.value.heavy)
+        h, known = shared.value.width, {w: k + 1 for k, w in enumerate(shared.value.heavy)}
         seen = np.zeros(4 * h * h, np.int64)
         for _, kinds, words in _chunks(batches):
-            prev, cur, text, _ = symbols(numbers, words)
+            prev, cur, text, _ = symbols(known, words)
             both_heavy = (prev < h) & (cur < h)
             key = (kinds[text[both_heavy]].astype(np.int64) * h + prev[both_heavy].astype(np.int64)) * h + cur[both_heavy].astype(np.int64)
             seen += np.bincount(key, minlength=len(seen))
@@ -229,21 +232,27 @@ def _chunk_keys(v: np.ndarray, w: np.ndarray, kind: np.ndarray, last: np.ndarray
     return _pack(*counted)
 
 
+def _numbered(keys: np.ndarray, where: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, or where they are, in order, and the number of each key."""
+    turn = np.argsort(keys)
+    own = keys[turn]
+    new = np.concatenate(([True], own[1:] != own[:-1]))
+    number = np.empty(len(keys), np.int64)
+    number[turn] = np.cumsum(new) - 1
+    return turn[new] if where else own[new], number
+
+
 class Bucket:
     """Costs of the words that meet in a bucket, from what all chunks have counted."""
 
     def __init__(self, models: Models, keys: list[tuple[int, list[np.ndarray]]]):
-        words, place = np.unique(np.concatenate([k[0] for _, k in keys]), return_inverse=True)
+        words, place = _numbered(np.concatenate([k[0] for _, k in keys]))
         sizes = [len(k[0]) for _, k in keys]
         places = np.split(place, np.cumsum(sizes)[:-1])
         word = np.concatenate([np.repeat(p, k[1]) for p, (_, k) in zip(places, keys, strict=True)])
         v, kind, n = (np.concatenate([k[j] for _, k in keys]) for j in (2, 3, 4))
-        turn = np.lexsort((v, word))
-        new = np.concatenate(([True], (np.diff(word[turn]) != 0) | (np.diff(v[turn]) != 0)))
-        pair = np.empty(len(turn), np.int64)
-        pair[turn] = np.cumsum(new) - 1
-        pairs = int(pair.max()) + 1
-        of_pair = word[turn][new]
+        first, pair = _numbered(mix(words[word]) ^ mix(v), where=True)
+        of_pair, pairs = word[first], len(first)
         counts = np.bincount(pair * 4 + kind, n, minlength=4 * pairs).reshape(pairs, 4).T
         unigram = np.bincount(word * 4 + kind, n, minlength=4 * len(words)).reshape(-1, 4).T
         ends = np.bincount(np.concatenate([p[k[5]] * 4 + k[6] for p, (_, k) in zip(places, keys, strict=True)]), np.concatenate([k[7] for _, k in keys]), minlength=4 * len(words)).reshape(-1, 4).T
@@ -251,8 +260,11 @@ class Bucket:
         heavy = np.flatnonzero(words < models.width)
         number = words[heavy].astype(np.int64)
         unigram[:, heavy], context[:, heavy] = models.unigram[:, number], models.context[:, number]
-        self.last = [models.word_share(f, counts, unigram[:, of_pair]) for f in (0, 1)]
-        self.context = [[c[of_pair] for c in models.context_share(f, context)] for f in (0, 1)]
+        # cost by model, and by fold and whether the word ends a text
+        self.table = np.empty((2, 4, pairs))
+        for f in (0, 1):
+            for m, (own, rest) in enumerate(zip(models.word_share(f, counts, unigram[:, of_pair]), models.context_share(f, context), strict=True)):
+                self.table[m, 2 * f], self.table[m, 2 * f + 1] = own + rest[of_pair], own
         # of each chunk the pairs of its occurrences: those of documents only, in runs
         self.runs, at = {}, 0
         for chunk, k in keys:
@@ -262,13 +274,8 @@ class Bucket:
             at += len(k[2])
 
     def costs(self, chunk: int, fold: np.ndarray, doc: np.ndarray, last: np.ndarray) -> list[np.ndarray]:
-        pair, odd = np.repeat(*self.runs[chunk]), fold[doc] == 1
-        out = []
-        for m in (0, 1):
-            cost = np.where(odd, self.last[1][m][pair], self.last[0][m][pair])
-            cost += np.where(last, 0.0, np.where(odd, self.context[1][m][pair], self.context[0][m][pair]))
-            out.append(np.bincount(doc, cost, minlength=len(fold)))
-        return out
+        at = (2 * fold[doc].astype(np.int64) + last) * self.table.shape[2] + np.repeat(*self.runs[chunk])
+        return [np.bincount(doc, table.ravel()[at], minlength=len(fold)) for table in self.table]
 
 
 def cross_entropy_difference(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", target_id: str = "conv_id") -> DataFrame:
@@ -319,7 +326,8 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, id_col: str = "
             kind = kinds[doc].astype(np.uint8)
             place = mix(np.where(w < h, mix(prev[rest] ^ w * np.uint64(_ODD)), w))
             part = (place >> np.uint64(64 - top)).astype(np.int64) if top else np.zeros(len(w), np.int64)
-            turn = np.lexsort((kind, v, w, part))
+            # by part, then as good as by word, context and kind: what a key has in two runs is just there twice
+            turn = np.argsort(place & ~np.uint64((1 << 24) - 1) | (v * np.uint64(_ODD)) >> np.uint64(42) << np.uint64(2) | kind)
             v, w, doc, over, kind, part = (x[turn] for x in (v, w, doc, over, kind, part))
             cut = np.searchsorted(part, np.arange((1 << top) + 1))
             for p in np.flatnonzero(np.diff(cut)).tolist():
@@ -348,20 +356,38 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, id_col: str = "
             bodies = [_pack(np.diff(i[x], prepend=0), n[x], t[x], b[x]) for x in (turn[cut[k] : cut[k + 1]] for k in some.tolist())]
             return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(bodies, pa.binary())], names=["part", "body"])
 
+        held: list[list[np.ndarray]] = [[], [], [], []]
+        count = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if held[0]:
+                # a document has a row for each chunk that it is in
+                ids, own_ = np.unique(np.concatenate(held[0]), return_inverse=True)
+                yield out(ids, *(np.bincount(own_, np.concatenate(x)).astype(x[0].dtype) for x in held[1:]))
+            for x in held:
+                x.clear()
+
         for batch in batches:
             for phase, chunk, body in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
                 raw = body.as_buffer()
                 if phase == 0:
                     keys.append((chunk, _unpack(raw, *_KEYS)))
-                elif phase == 2:
-                    yield out(*_unpack(raw, np.int64, np.int64, np.float64, np.float64))
+                    continue
+                if phase == 2:
+                    found = _unpack(raw, np.int64, np.int64, np.float64, np.float64)
                 else:
                     if bucket is None:
                         bucket, keys = Bucket(own, keys), []
                     step, fold, local, over = _unpack(raw[8:], np.int64, np.uint8, np.uint32 if raw[:8] == b"\x01" + bytes(7) else np.uint16, np.uint8)
                     ids = np.cumsum(step)
-                    t, b = bucket.costs(chunk, fold, local, np.unpackbits(over, count=len(local)).astype(bool))
-                    yield out(ids, np.zeros(len(ids), np.int64), t, b)
+                    found = [ids, np.zeros(len(ids), np.int64), *bucket.costs(chunk, fold, local, np.unpackbits(over, count=len(local)))]
+                for x, y in zip(held, found, strict=True):
+                    x.append(y)
+                count += len(found[0])
+                if count >= OUT_ROWS:
+                    yield from flush()
+                    count = 0
+        yield from flush()
         trim()
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
