@@ -18,10 +18,10 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import types as T
 
-from .shared import ranges, utf8
+from .shared import bounded, ranges, trim, utf8
 
 WINDOW = 8
-SHARD_WORDS = 1_000_000
+SHARD_WORDS = 300_000
 BLOCK_WORDS = 2_000_000  # benchmark words whose windows go to the executors at once
 RATE = 16
 
@@ -360,10 +360,11 @@ def _search_block(docs: DataFrame, shared: Broadcast, clean: bool, id_col: str,
                     ids, keys, texts, words, count = [], [], [], [], 0
         if ids:
             yield flush()
+        trim()
 
     from pyspark.sql import functions as F
 
-    return docs.select(F.col(id_col).cast("long"), "text", (_text_key() if keyed else F.lit(None).cast("string")).alias("key")).mapInArrow(shards, _OUT)
+    return bounded(docs).select(F.col(id_col).cast("long"), "text", (_text_key() if keyed else F.lit(None).cast("string")).alias("key")).mapInArrow(shards, _OUT)
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -16,7 +16,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -295,12 +294,11 @@ def identified(docs: DataFrame, model: CrossParser, text_col: str = "text") -> D
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("string")
-    def lang_of(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("string")
+    def lang_of(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in columns:
-            size = max(1, int(len(texts) * BATCH_BYTES / max(BATCH_BYTES, texts.str.len().sum())))
-            parts = [shared.value.predict([t if isinstance(t, str) else None for t in texts.iloc[a : a + size]])[0] for a in range(0, len(texts), size)]
-            yield pd.Series([x for p in parts for x in p], dtype="object")
+            whole = pa.RecordBatch.from_arrays([texts], names=["text"])
+            yield pa.array([x for part in by_bytes(iter([whole]), 0, BATCH_BYTES) for x in shared.value.predict(part.column(0).to_pylist())[0]], pa.string())
         trim()
 
     return bounded(docs).where(lang_of(text_col) != "und")

@@ -10,7 +10,6 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -100,10 +99,10 @@ def among(keys: DataFrame, key: str) -> Callable[[Column], Column]:
     table[[r["word"] for r in words]] = [r["set"] for r in words]
     shared = keys.sparkSession.sparkContext.broadcast(table)
 
-    @F.pandas_udf("boolean")
-    def there(places: pd.Series) -> pd.Series:
+    @F.arrow_udf("boolean")
+    def there(places: pa.Array) -> pa.Array:
         x = places.to_numpy()
-        return pd.Series((shared.value[x >> 6] >> (x & 63)) & 1 == 1)
+        return pa.array((shared.value[x >> 6] >> (x & 63)) & 1 == 1)
 
     return lambda value: there(F.pmod(F.xxhash64(value), F.lit(bits)))
 
