@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, archives, decontaminate, language, lm, mixing, near_dup, sharding, suffix, toxicity
+from . import ann, archives, decontaminate, language, lm, mixing, near_dup, oracles, sharding, suffix, toxicity
 from .shared import fold, table
 
 
@@ -51,7 +51,7 @@ def op8_cross_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return archives.round_trip(table(spark, sf_dir, "pages"))
+    return archives.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op10_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,12 +62,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_adaptive_scan, op2_cross_entropy, op3_suffix_dedup, op4_noisy_channel, op5_super_minhash, op6_shard_bytes, op7_mix_curriculum, op8_cross_parse, op9_arc_to_warc, op10_fm_index)
 }
 
-SQL: dict[str, str] = {"op2_cross_entropy": lm.SQL}
-
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return dict(oracles.SQL)
