@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
 from .operators import covers, statistics
-from .operators.graph import settled
+from .operators.graph import settled, unsettle
 from .plans.algebra import show
 from .plans.parser import parse
 from .plans.planner import compile_plan
 from .sources.ntriples import read_triples
-from .sources.sinks import decoded
+from .sources.sinks import decoded, write_tsv
 from .sources.tables import StoredGraph, TableGraph
 
 
@@ -68,5 +69,14 @@ class Engine:
             raise ValueError("estimates need a loaded cover")
         return statistics.estimate(parse(text), self.loaded.stats, self.loaded.sizes, tree)
 
+    def run(self, text: str, path: str, **options) -> tuple[int, float]:
+        """Write the answer to ``path``; its number of rows and the seconds taken."""
+        began = time.perf_counter()
+        write_tsv(self.query(text, **options), path)
+        return self.spark.read.text(f"{path}/rows").count(), time.perf_counter() - began
+
     def drop(self) -> None:
+        """Forget what was loaded, and delete what was stored for it."""
+        if self.loaded:
+            unsettle(self.graph.triples, self.loaded.cover, self.loaded.stats)
         self.graph = self.loaded = None

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.terms import BLANK, RDF_TYPE, fold_hash, hash_chunk, iri_parts
 from .graph import neighbours, propagate, settled
 
+OVER = 187  # fixed value: of the number of partitions
 PACKED = 4096  # the largest partitions that are packed one by one; smaller ones are hashed
 
 
@@ -24,17 +26,20 @@ def vertical_cover(triples: DataFrame, chunks: int) -> DataFrame:
     return triples.withColumn("chunk", hash_chunk(F.col("p"), chunks))
 
 
-def hierarchical_cover(triples: DataFrame, chunks: int, levels: int = 6) -> DataFrame:
+def hierarchical_cover(triples: DataFrame, chunks: int, levels: int | None = None) -> DataFrame:
     """By the first parts of the subject IRI, as many as give the least deviation of chunk sizes.
 
-    Levels up to ``levels`` are tried in one aggregation; the first wins on ties. An IRI
-    with fewer parts has all of them; blank nodes go by their own hash.
+    All levels up to the deepest IRI's, or up to ``levels``, are tried in one
+    aggregation; the first wins on ties. An IRI with fewer parts has all of them; blank
+    nodes go by their own hash.
     """
     parts = iri_parts(F.col("s"))
     prefix = lambda n: F.concat(F.lit("//"), F.array_join(F.slice(parts, 1, n), "/"))
     blank = F.startswith("s", F.lit(BLANK))
     at = lambda n: F.when(blank, hash_chunk(F.col("s"), chunks)).otherwise(hash_chunk(prefix(n), chunks))
     tried = triples.groupBy("s").agg(F.count(F.lit(1)).alias("n"))
+    if levels is None:
+        levels = max(1, triples.agg(F.max(F.size(parts)).alias("m")).first()["m"] or 1)
     each = tried.select("n", F.explode(F.array(*[F.struct(F.lit(k).alias("level"), at(k).alias("chunk")) for k in range(1, levels + 1)])).alias("x"))
     sizes = each.groupBy("x.level", "x.chunk").agg(F.sum("n").alias("n"))
     spread = sizes.groupBy("level").agg((F.sum(F.col("n") * F.col("n")) / chunks - F.pow(F.sum("n") / chunks, 2)).alias("v"))
@@ -74,8 +79,15 @@ def min_edge_cut_cover(triples: DataFrame, chunks: int, partitioner: Callable[[D
 
 
 def over_partitioned_cover(triples: DataFrame, chunks: int, partitioner: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """More partitions than chunks, packed by their number of triples; unknown subjects are partitions of their own."""
-    parts = (partitioner or propagate)(neighbours(triples)).select("node", F.col("part").cast("string").alias("part"))
+    """More partitions than chunks, packed by their number of triples; unknown subjects are partitions of their own.
+
+    There are ceil(sqrt(187 * vertices / chunks)) partitions at most: what the
+    partitioner gives is packed into as many by vertices first.
+    """
+    parts = settled((partitioner or propagate)(neighbours(triples)).select("node", F.col("part").cast("string").alias("part")))
+    many = math.ceil(math.sqrt(OVER * max(1, parts.count()) / chunks))
+    groups = packed_chunks(parts.groupBy("part").agg(F.count(F.lit(1)).alias("n")), many)
+    parts = parts.join(groups, "part").select("node", F.col("chunk").cast("string").alias("part"))
     placed = settled(triples.join(parts, triples["s"] == parts["node"], "left").select("s", "p", "o", F.coalesce("part", "s").alias("part")))
     homes = packed_chunks(placed.groupBy("part").agg(F.count(F.lit(1)).alias("n")), chunks)
     return placed.join(homes, "part").select("s", "p", "o", F.col("chunk").cast("int").alias("chunk"))

@@ -20,6 +20,20 @@ def build(triples: DataFrame) -> DataFrame:
     return parts.withColumn("place", place).join(F.broadcast(before), "part").select((F.col("before") + F.col("place")).alias("id"), "term")
 
 
+def densify(ids: DataFrame, column: str = "id") -> DataFrame:
+    """(id, dense): distinct ids numbered from 1 in their order."""
+    distinct = ids.select(F.col(column).alias("id")).where(F.col("id").isNotNull()).distinct()
+    parts = settled(distinct.repartitionByRange(F.col("id")).withColumn("part", F.spark_partition_id()))
+    totals = parts.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = totals.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    place = F.row_number().over(Window.partitionBy("part").orderBy("id"))
+    return parts.withColumn("place", place).join(F.broadcast(before), "part").select("id", (F.col("before") + F.col("place")).alias("dense"))
+
+
+def size(dictionary: DataFrame) -> int:
+    return dictionary.count()
+
+
 def encode(triples: DataFrame, dictionary: DataFrame, columns: tuple[str, ...] = ("s", "p", "o")) -> DataFrame:
     """Terms as ids; an unknown term is 0."""
     for c in columns:

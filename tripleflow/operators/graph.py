@@ -18,10 +18,21 @@ def settled(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = _OWN.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="tripleflow-graph-"))
     path = f"{root.rstrip('/')}/graph/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._settled_at = path
+    return out
+
+
+def unsettle(*settled_: DataFrame) -> None:
+    """Delete the files of tables that ``settled`` gave."""
+    for df in settled_:
+        path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df._settled_at)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def neighbours(triples: DataFrame) -> DataFrame:

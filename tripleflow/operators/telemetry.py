@@ -59,5 +59,34 @@ def storage_states(events: DataFrame, order: str, file: str, in_file: Column) ->
     return last.agg(F.count(F.when(F.col("disk"), 1)).alias("on_disk"), F.count(F.when(~F.col("disk"), 1)).alias("in_memory"))
 
 
+def storage_series(events: DataFrame, order: str, file: str, in_file: Column) -> DataFrame:
+    """(n, on_disk, in_memory) after each event: files by the state of their latest event so far.
+
+    Each event changes the two counts by -1, 0 or 1; the running sums are taken within
+    ranges of events and shifted by the totals of the ranges before.
+    """
+    rows = numbered(events.withColumn("disk", in_file), order)
+    before = F.lag("disk").over(Window.partitionBy(file).orderBy("n"))
+    now = F.col("disk").cast("long")
+    change = rows.select("n", (now - F.coalesce(before.cast("long"), F.lit(0))).alias("disk"), ((1 - now) - F.coalesce(1 - before.cast("long"), F.lit(0))).alias("memory"))
+    parts = settled(change.withColumn("part", F.floor(F.col("n") / 10_000)))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = parts.groupBy("part").agg(F.sum("disk").alias("d"), F.sum("memory").alias("m"))
+    offsets = totals.select("part", F.coalesce(F.sum("d").over(earlier), F.lit(0)).alias("d"), F.coalesce(F.sum("m").over(earlier), F.lit(0)).alias("m"))
+    upto = Window.partitionBy("part").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    return parts.withColumn("own_d", F.sum("disk").over(upto)).withColumn("own_m", F.sum("memory").over(upto)).join(offsets, "part").select("n", (F.col("d") + F.col("own_d")).alias("on_disk"), (F.col("m") + F.col("own_m")).alias("in_memory"))
+
+
+def flush_rate(events: DataFrame, order: str, file: str, interval: int, flushed: Column, dirty: Column) -> DataFrame:
+    """(bucket, file, flush_dirty_rate): of a file's flushes in an interval the share that were dirty, in percent; 0 without flushes."""
+    share = F.sum(F.when(flushed & dirty, 100.0).otherwise(0.0)) / F.nullif(F.count(F.when(flushed, 1)), F.lit(0))
+    return intervals(events, order, file, interval, {"flush_dirty_rate": F.coalesce(rounded(share), F.lit(0.0))}).select("bucket", "file", "flush_dirty_rate")
+
+
+def last_values(events: DataFrame, order: str, file: str, interval: int, value: Column) -> DataFrame:
+    """(bucket, file, value): what a series, as of cache use, was at the file's last event of an interval."""
+    return intervals(events, order, file, interval, {"value": F.max_by(value, order)}).select("bucket", "file", "value")
+
+
 def counter(events: DataFrame, *keys: str) -> DataFrame:
     return events.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))

@@ -29,6 +29,18 @@ def read_statements(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
     return parsed.where(F.col("s").isNotNull()).select("s", "p", "o"), parsed.where(F.col("s").isNull() & ~F.rlike("line", F.lit(r"^\s*(#.*)?$"))).select("line")
 
 
+def first_triples(spark: SparkSession, path: str, n: int) -> DataFrame:
+    """The first ``n`` statements in the order of the files' lines, duplicates included."""
+    return read_statements(spark, path)[0].limit(n)
+
+
+def clean(spark: SparkSession, path: str, out: str) -> None:
+    """Statements that hold, written anew as gzipped N-Quads; malformed lines go."""
+    from .sinks import write_nquads
+
+    write_nquads(read_statements(spark, path)[0], out)
+
+
 def read_triples(spark: SparkSession, path: str) -> DataFrame:
     """The set of triples; malformed lines are skipped."""
     return read_statements(spark, path)[0].distinct()

@@ -81,6 +81,15 @@ class TableGraph:
     def _object(self, m: Mapping, column: str) -> Column:
         return iri(f"urn:{m.refers[column]}/", F.col(column)) if column in m.refers else literal(F.col(column))
 
+    def _with_object(self, rows: DataFrame, m: Mapping, column: str, o: str) -> DataFrame:
+        """``rows`` by a filter on the stored column, which reaches the scan; the term itself is compared later on."""
+        kind = rows.schema[column].dataType.typeName()
+        if column in m.refers and kind in ("integer", "long") and (k := re.fullmatch(rf"<urn:{m.refers[column]}/(-?\d{{1,18}})>", o)):
+            return rows.where(F.col(column) == int(k[1]))
+        if column not in m.refers and kind == "string" and len(o) >= 2 and o[0] == o[-1] == '"' and "\\" not in o:
+            return rows.where(F.col(column) == o[1:-1])
+        return rows
+
     def scan(self, s: str | None = None, p: str | None = None, o: str | None = None) -> DataFrame:
         parts = []
         for name in self.tables:
@@ -91,6 +100,8 @@ class TableGraph:
             if s is not None and len(m.key) == 1 and (k := re.fullmatch(r"<urn:[^/]*/(-?\d{1,18})>", s)):
                 rows = rows.where(F.col(m.key[0]) == int(k[1]))
             wanted = [c for c in m.columns if p is None or p == f"<urn:{c}>"]
+            if o is not None and p is not None and len(wanted) == 1:
+                rows = self._with_object(rows, m, wanted[0], o)
             pairs = [F.struct(F.lit(f"<urn:{c}>").alias("p"), self._object(m, c).alias("o")) for c in wanted]
             if p is None or p == RDF_TYPE:
                 pairs.append(F.struct(F.lit(RDF_TYPE).alias("p"), F.lit(f"<urn:{m.home}>").alias("o")))
