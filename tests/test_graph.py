@@ -1,15 +1,19 @@
 from itertools import product
+from pathlib import Path
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tripleflow.engine import Engine
-from tripleflow.operators import covers, dictionary, statistics, validate
+from tripleflow.operators import covers, dictionary, statistics, telemetry, validate
 from tripleflow.plans.algebra import QuerySyntaxError, UnsupportedFeature, shape
 from tripleflow.plans.parser import parse, quoted, unescape
-from tripleflow.sources.ntriples import read_statements
-from tripleflow.sources.sinks import write_nquads, write_triples, write_tsv
+from tripleflow.sources.ntriples import clean, first_triples, read_statements
+from tripleflow.sources.sinks import read_cover, write_cover, write_measurements, write_metrics, write_nquads, write_statistics, write_triples, write_tsv
+from tripleflow.sources.tables import TableGraph
+from tripleflow.sources.turtle import parse_turtle
 from tripleflow.streaming.ingest import append, read_stream
 
 GRAPH = """<urn:a> <urn:knows> <urn:b> .
@@ -192,3 +196,78 @@ def test_sinks_and_stream(spark, triples, folder, tmp_path):
     assert spark.read.text(f"{tmp_path}/out/rows").count() == 4
     append(read_stream(spark, folder), f"{tmp_path}/streamed", f"{tmp_path}/mark").awaitTermination(120)
     assert spark.read.parquet(f"{tmp_path}/streamed").count() == 7
+
+
+def test_turtle(spark, tmp_path):
+    text = """@prefix u: <urn:> . @base <http://h/> .
+PREFIX v: <urn:v/>
+u:a u:knows u:b , [ u:name "x"@en ; a v:T ] ; u:age 30 , 1.5 , true .
+<c> u:list ( u:a "two" ) ; u:note '''long
+text''' .
+_:n u:knows _:n .
+"""
+    found, error = parse_turtle(text, "f")
+    assert error is None and len(found) == 14
+    assert ("<urn:a>", "<urn:age>", '"1.5"^^<http://www.w3.org/2001/XMLSchema#decimal>') in found
+    assert ("<http://h/c>", "<urn:note>", '"long\\ntext"') in found
+    assert ("<urn:blankNode:f.n>", "<urn:knows>", "<urn:blankNode:f.n>") in found
+    assert sum(p.endswith("#rest>") for _, p, _ in found) == 2
+    kept, error = parse_turtle("<urn:a> <urn:b> <urn:c> . <urn:a> ?v <urn:c> .")
+    assert len(kept) == 1 and error
+    (tmp_path / "a.ttl").write_text(text)
+    (tmp_path / "b.ttl").write_text("<urn:a> <urn:b>")
+    (tmp_path / "c.nt").write_text(GRAPH)
+    (tmp_path / "d.txt").write_text("no graph")
+    statements, rejected = read_statements(spark, str(tmp_path))
+    assert statements.count() == 14 + 8 and rejected.count() == 2
+
+
+def test_files_out_and_in_again(spark, triples, folder, tmp_path):
+    assert first_triples(spark, folder, 3).count() == 3
+    clean(spark, folder, f"{tmp_path}/clean")
+    assert spark.read.text(f"{tmp_path}/clean").count() == 8
+    cover = covers.hash_cover(triples, 3)
+    write_cover(cover, f"{tmp_path}/cover")
+    assert rows(read_cover(spark, f"{tmp_path}/cover").select("s", "p", "o", "chunk")) == rows(cover)
+    assert read_cover(spark, f"{tmp_path}/cover", 1).count() == cover.where("chunk = 1").count()
+    stats = statistics.frequencies(cover)
+    write_statistics(statistics.matrix(stats, 3), f"{tmp_path}/stats")
+    again = spark.read.option("header", "true").csv(f"{tmp_path}/stats")
+    assert again.columns == ["term", *(f"{c}{k}" for c in "spo" for k in range(3))] and again.count() == stats.select("term").distinct().count()
+    write_metrics(spark.createDataFrame([("f", 1, 0.5), ("g", 2, 1.5)], "file string, row_id long, rate double"), f"{tmp_path}/metrics")
+    assert spark.read.option("header", "true").csv(f"{tmp_path}/metrics").count() == 2
+    write_measurements(spark.createDataFrame([("s", 1, 2, "T", ["a", "b"])], "server string, message_number long, ts long, type string, values array<string>"), f"{tmp_path}/measured")
+    assert spark.read.text(f"{tmp_path}/measured").first().value == "s\t1\t2\tT\ta\tb"
+    ids = {r.id: r.dense for r in dictionary.densify(spark.createDataFrame([(7,), (3,), (7,), (None,), (90,)], "id long")).collect()}
+    assert ids == {3: 1, 7: 2, 90: 3}
+    assert dictionary.size(dictionary.build(triples)) == len({x for r in triples.collect() for x in r})
+
+
+def test_run_and_drop(spark, triples, tmp_path):
+    engine = Engine(spark)
+    loaded = engine.load(triples)
+    assert engine.run("SELECT ?s ?o { ?s <urn:knows> ?o }", f"{tmp_path}/some")[0] == 4
+    n, seconds = engine.run("SELECT ?s { ?s <urn:none> ?o }", f"{tmp_path}/none")
+    assert n == 0 and seconds > 0 and not (tmp_path / "none" / "header").exists()
+    stored = loaded.cover.inputFiles()
+    engine.drop()
+    assert stored and not any(Path(f.removeprefix("file://").removeprefix("file:")).exists() for f in stored)
+    with pytest.raises(ValueError):
+        engine.query("SELECT ?s { ?s ?p ?o }")
+
+
+def test_filters_on_objects_reach_the_scan(spark, tmp_path):
+    spark.createDataFrame([(1, 7, "F", 1.0, None, "x"), (2, 8, "O", 1.0, None, "y")], "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    graph = TableGraph(spark, str(tmp_path), ["orders"])
+    for p, o, pushed in (("<urn:o_orderstatus>", '"F"', "EqualTo(o_orderstatus,F)"), ("<urn:o_custkey>", "<urn:customer/8>", "EqualTo(o_custkey,8)")):
+        df = graph.scan(p=p, o=o)
+        assert df.count() == 1 and pushed in df._jdf.queryExecution().toString()
+    assert graph.scan(p="<urn:o_totalprice>", o='"1.0"').count() == 2
+    assert graph.scan(p="<urn:o_custkey>", o='"8"').count() == 0
+
+
+def test_series(spark):
+    log = spark.createDataFrame([(0, "a", 1, 5), (1, "b", 0, 6), (2, "a", 0, 7), (3, "b", 1, 8), (4, "c", 1, 9)], "n0 long, file string, disk int, v int")
+    assert rows(telemetry.storage_series(log, "n0", "file", F.col("disk") == 1)) == [(0, 1, 0), (1, 1, 1), (2, 0, 2), (3, 1, 1), (4, 2, 1)]
+    assert rows(telemetry.flush_rate(log, "n0", "file", 3, F.col("v") > 5, F.col("disk") == 1)) == [(0, "a", 0.0), (0, "b", 0.0), (1, "b", 100.0), (1, "c", 100.0)]
+    assert rows(telemetry.last_values(log, "n0", "file", 3, F.col("v"))) == [(0, "a", 7), (0, "b", 6), (1, "b", 8), (1, "c", 9)]

@@ -21,12 +21,23 @@ def parse_lines(lines: DataFrame, column: str = "value") -> DataFrame:
 
 
 def read_statements(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(statements with duplicates, rejected lines) of a file or folder of .nt, .nq and their .gz; other files are passed over."""
+    """(statements with duplicates, rejected lines) of a file or folder of .nt, .nq, .ttl, .n3 and their .gz; other files are passed over.
+
+    A Turtle file gives its statements up to the first error, and the error as a rejected line.
+    """
+    from .turtle import read_turtle
+
+    if any(path.endswith(x) for x in (".ttl", ".n3", ".ttl.gz", ".n3.gz")):
+        return read_turtle(spark, path)
     reader = spark.read.option("recursiveFileLookup", "false")
     single = any(path.endswith(x) for x in (".nt", ".nq", ".nt.gz", ".nq.gz"))
     lines = reader.text(path) if single else reader.option("pathGlobFilter", "*.{nt,nq,nt.gz,nq.gz}").text(path)
     parsed = parse_lines(lines)
-    return parsed.where(F.col("s").isNotNull()).select("s", "p", "o"), parsed.where(F.col("s").isNull() & ~F.rlike("line", F.lit(r"^\s*(#.*)?$"))).select("line")
+    statements, rejected = parsed.where(F.col("s").isNotNull()).select("s", "p", "o"), parsed.where(F.col("s").isNull() & ~F.rlike("line", F.lit(r"^\s*(#.*)?$"))).select("line")
+    if single:
+        return statements, rejected
+    more, errors = read_turtle(spark, path)
+    return statements.unionAll(more), rejected.unionAll(errors)
 
 
 def first_triples(spark: SparkSession, path: str, n: int) -> DataFrame:
