@@ -18,9 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import stage
+from .shared import among, stage
 
 ARCHIVE_BYTES = 4_000_000
+TASK_BYTES = 24_000_000  # of packed archives that one task converts
+COMMON = 1000  # digests with more than one in COMMON records are at most COMMON
 LEAST_REVISIT = 100
 FIELDS = {
     1: ["url", "ip", "date", "mime", "length"],
@@ -248,14 +250,26 @@ def convert_arcs(arcs: DataFrame, index: DataFrame, least: int = LEAST_REVISIT)
 
     ``index`` is index_arcs(arcs). Of equal payloads, the record with the smallest page
     id is the response; records without a page id are never revisits nor referred to.
-    Only the table of repeated digests is joined by digest; archives are joined by name,
-    each with the list of its own revisits.
+    Only the table of repeated digests is joined by digest: those of more than one in
+    COMMON records, which are COMMON at most, are broadcast, so that no digest is a hot
+    key. Archives without revisits stay where they are; the others meet the lists of
+    theirs in tasks of about TASK_BYTES, as many as the archives' bytes ask for.
     """
     large = index.where((F.col("bytes") >= least) & F.col("page_id").isNotNull())
-    firsts = stage(large.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first"), "arc-firsts")
-    revisits = large.join(firsts, "digest").where("page_id <> first")
-    own = revisits.groupBy("archive").agg(F.map_from_entries(F.collect_list(F.struct("number", "first"))).alias("revisits"))
-    joined = arcs.join(own, "archive", "left").select("archive", "content", "revisits")
+    total = large.count()
+    firsts = stage(large.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "arc-firsts")
+    common = firsts.where(F.col("n") * COMMON > total).select("digest", "first")
+    rare = firsts.where(F.col("n") * COMMON <= total).select("digest", "first")
+    by_common = large.join(F.broadcast(common), "digest", "left")
+    known = by_common.where("first is not null").select("archive", "number", "page_id", "first")
+    met = by_common.where("first is null").drop("first").join(rare, "digest").select("archive", "number", "page_id", "first")
+    own = stage(known.unionAll(met).where("page_id <> first").groupBy("archive").agg(F.map_from_entries(F.collect_list(F.struct("number", "first"))).alias("revisits")), "arc-revisits")
+    some = among(own.select(F.xxhash64("archive").alias("name")), "name")
+    rows = arcs.withColumn("some", some(F.xxhash64("archive")))
+    parts = max(1, -(-rows.where("some").agg(F.coalesce(F.sum(F.octet_length("content")), F.lit(0)).alias("n")).first()["n"] // TASK_BYTES))
+    meet = rows.where("some").select("archive", "content").repartition(parts, "archive").join(own.repartition(parts, "archive").hint("shuffle_hash"), "archive", "left")
+    still = rows.where("not some").select("archive", "content", F.lit(None).cast(own.schema["revisits"].dataType).alias("revisits"))
+    joined = meet.select("archive", "content", "revisits").unionAll(still)
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
