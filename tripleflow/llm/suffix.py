@@ -13,7 +13,9 @@ them. Strings that reach far to the right of their anchor, and those that reach
 to its left, have some 60 bytes in common by which they are looked up: where those
 are nowhere repeated no more work is needed, where the whole context is repeated its
 first place settles it, and only where contexts differ are the strings themselves
-compared, by 64-bit hashes.
+compared, by two independent 64-bit hashes. A common part and its context are 112
+bits, a string 128: of 1e14 strings, two that differ would be taken for equal with a
+chance of about 1e-11.
 """
 
 from __future__ import annotations
@@ -41,14 +43,18 @@ HOME_BYTES = 40_000_000  # of text whose findings meet in one task
 NO_ID = -(1 << 63)
 _PLACE = np.uint64((1 << 30) - 1)
 _BASE = 0x5851F42D4C957F2D
-_BACK = pow(_BASE, -1, 1 << 64)
 _BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_SECOND_BASE = 0xD1342543DE82EF95
+_SECOND_BYTES = mix(np.arange(301, 557, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def suffix_array(seq: list[int]) -> list[int]:
     """Starts of the suffixes of ``seq`` in order, a suffix before those that it begins."""
     n = len(seq)
-    order = sorted(range(n), key=seq.__getitem__)
+    starts: list[list[int]] = [[] for _ in range(max(seq, default=-1) + 1)]
+    for i, c in enumerate(seq):
+        starts[c].append(i)
+    order = [i for own in starts for i in own]
     place, group, size, before = [0] * n, [0] * n, {}, [-1] * n
     start = 0
     for r, i in enumerate(order):
@@ -59,14 +65,23 @@ def suffix_array(seq: list[int]) -> list[int]:
     end = n
     while end:
         g = group[order[end - 1]]
-        members = sorted(order[g:end])
+        members = order[g:end]
         counts: dict[int, int] = {}
         for i in members:
             p = i - 1
-            while p >= 0 and group[p] >= g:
+            while p >= 0 and group[p] > g:
                 p = before[p]
             before[i] = p
-            if p >= 0:
+        for i in members:
+            # chains inside the group, each link walked once
+            chain, p = [i], before[i]
+            while p >= 0 and group[p] == g:
+                chain.append(p)
+                p = before[p]
+            for j in chain:
+                before[j] = p
+        for i in members:
+            if (p := before[i]) >= 0:
                 counts[p] = counts.get(p, 0) + 1
         by_count: dict[int, list[int]] = {}
         for p, c in counts.items():
@@ -142,14 +157,14 @@ def repeated_in(texts: list[bytes], length: int = LENGTH) -> list[list[tuple[int
 class Rolling:
     """Hashes of the substrings of some bytes."""
 
-    def __init__(self, data: np.ndarray):
+    def __init__(self, data: np.ndarray, base: int = _BASE, values: np.ndarray = _BYTES):
         n = len(data)
-        power = np.full(n + 1, _BASE, np.uint64)
+        power = np.full(n + 1, base, np.uint64)
         power[0] = 1
         np.cumprod(power, out=power)
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTES[data] * power[:n], out=self.sums[1:])
-        power[1:] = np.uint64(_BACK)
+        np.cumsum(values[data] * power[:n], out=self.sums[1:])
+        power[1:] = np.uint64(pow(base, -1, 1 << 64))
         power[0] = 1
         self.back = np.cumprod(power, out=power)
 
@@ -406,7 +421,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             sizes = np.array([len(t) for t in texts], np.int64)
             found = []
             for a, b in _pieces(sizes, PIECE):
-                roll = Rolling(np.concatenate(texts[a:b]))
+                data = np.concatenate(texts[a:b])
                 begin = np.cumsum(sizes[a:b]) - sizes[a:b]
                 pairs = [np.frombuffer(b"".join(r), np.uint32).reshape(-1, 2).astype(np.int64) for r in runs[a:b]]
                 t = np.repeat(np.arange(b - a), [len(x) for x in pairs])
@@ -414,23 +429,24 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 n = hi - lo + 1
                 s, t = ranges(lo, n), np.repeat(t, n)
                 at = s + begin[t]
-                found.append((mix(roll.of(at, at + LENGTH)), t + a, s))
-            w, t, s = (np.concatenate(x) for x in zip(*found, strict=True))
-            turn, new, later = _first_of((w,), ids[t], s)
-            w, t, s = w[turn], t[turn], s[turn]
+                w = mix(Rolling(data).of(at, at + LENGTH))
+                found.append((w, mix(Rolling(data, _SECOND_BASE, _SECOND_BYTES).of(at, at + LENGTH)), t + a, s))
+            w, v, t, s = (np.concatenate(x) for x in zip(*found, strict=True))
+            turn, new, later = _first_of((w, v), ids[t], s)
+            w, v, t, s = w[turn], v[turn], t[turn], s[turn]
             if later.any():
                 yield _pass_on(_found("span", homes, ids, crcs, *_runs(t[later], s[later])), shares)
-            w, t, s = w[new], t[new], s[new]
-            yield _deal((mix(w ^ np.uint64(78)) % np.uint64(shares)).astype(np.int64), shares, ids, crcs, t, w, s.astype(np.uint32))
+            w, v, t, s = w[new], v[new], t[new], s[new]
+            yield _deal((mix(w ^ np.uint64(78)) % np.uint64(shares)).astype(np.int64), shares, ids, crcs, t, w, v, s.astype(np.uint32))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for got in _gather(batches, np.uint64, np.uint32):
+        for got in _gather(batches, np.uint64, np.uint64, np.uint32):
             if isinstance(got, pa.RecordBatch):
                 yield got
                 continue
-            ids, crcs, doc, w, s = got
+            ids, crcs, doc, w, v, s = got
             s = s.astype(np.int64)
-            turn, _, later = _first_of((w,), ids[doc], s)
+            turn, _, later = _first_of((w, v), ids[doc], s)
             if later.any():
                 yield _found("span", homes, ids, crcs, *_runs(doc[turn][later], s[turn][later]))
 
