@@ -691,6 +691,27 @@ def test_archives(spark):
     assert archives.round_trip(pages.limit(0)).count() == 0
 
 
+def test_archives_on_odd_rows(spark, monkeypatch):
+    """Repeated and null ids, and digests on either side of the bound for a broadcast."""
+    rows = [(i % 7 if i % 11 else None, ("p%d " % (i % 5 if i % 2 else i)) * 60) for i in range(120)] + [(500, "rest " * 40), (501, "rest " * 40)]
+    pages = spark.createDataFrame([(i, "http://h/", h, "x") for i, h in rows], "page_id long, url string, html string, archive string").repartition(3)
+    least = {}
+    for i, h in rows:
+        if i is not None:
+            least[h] = min(least.get(h, i), i)
+    for common in (1000, 10):
+        monkeypatch.setattr(archives, "COMMON", common)
+        found = archives.round_trip(pages).collect()
+        assert Counter((r.page_id, r.payload_digest) for r in found) == Counter((i, hashlib.sha256(h.encode()).hexdigest()) for i, h in rows)
+        assert len({r.record_id for r in found}) == len(rows)
+        of = {hashlib.sha256(h.encode()).hexdigest(): k for h, k in least.items()}
+        responses = Counter(r.payload_digest for r in found if r.record_type == "response" and r.page_id is not None)
+        assert responses == Counter(of.keys())
+        assert all(r.page_id == of[r.payload_digest] for r in found if r.record_type == "response" and r.page_id is not None)
+        assert all(r.refers_to == of[r.payload_digest] for r in found if r.record_type == "revisit")
+        assert all(r.record_type == "response" for r in found if r.page_id is None)
+
+
 def test_arc_versions_and_cut_records():
     for version in (1, 2):
         head = archives.arc_head(version, "a.arc", "20200101000000")

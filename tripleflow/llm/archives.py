@@ -190,9 +190,9 @@ def index_arcs(arcs: DataFrame) -> DataFrame:
 # --- WARC
 
 
-def record_id(page: int | None, head: dict[str, str], name: str, number: int) -> str:
-    key = f"page:{page}" if page is not None else f"{name}:{number}:{head['url']}:{head['date']}"
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, key)}>"
+def record_id(name: str, number: int) -> str:
+    """From the place of the ARC record: unique, and the same in every run over the same archives."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'{name}:{number}')}>"
 
 
 def warc_date(date: str) -> str:
@@ -209,14 +209,13 @@ def warc_record(headers: list[tuple[str, str]], block: bytes) -> bytes:
     return b"WARC/1.1\r\n" + lines.encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
-def to_warc(name: str, number: int, head: dict[str, str], body: bytes, refers: int | None) -> bytes:
-    """The WARC record that an ARC record amounts to; ``refers``: the page whose payload this one repeats."""
+def to_warc(name: str, number: int, head: dict[str, str], body: bytes, refers: dict | None) -> bytes:
+    """The WARC record that an ARC record amounts to; ``refers``: page_id, archive and number of the record whose payload this one repeats."""
     http, block, payload = http_split(body)
-    page = page_of(http)
     kind = "revisit" if refers is not None else "resource" if http is None else "response"
     headers = [
         ("WARC-Type", kind),
-        ("WARC-Record-ID", record_id(page, head, name, number)),
+        ("WARC-Record-ID", record_id(name, number)),
         ("WARC-Date", warc_date(head["date"])),
         ("WARC-Target-URI", head["url"]),
         ("WARC-IP-Address", head["ip"]),
@@ -226,8 +225,8 @@ def to_warc(name: str, number: int, head: dict[str, str], body: bytes, refers: i
     if refers is not None:
         headers += [
             ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"),
-            ("WARC-Refers-To", record_id(refers, head, name, number)),
-            ("X-Refers-To-Page", str(refers)),
+            ("WARC-Refers-To", record_id(refers["archive"], refers["number"])),
+            ("X-Refers-To-Page", str(refers["page_id"])),
             ("X-Payload-Length", str(len(payload))),
         ]
         return warc_record([*headers, ("WARC-Block-Digest", warc_digest(block))], block)
@@ -249,7 +248,8 @@ def convert_arcs(arcs: DataFrame, index: DataFrame, least: int = LEAST_REVISIT)
     """ARC archives as WARC archives, repeated payloads of ``least`` bytes or more as revisits.
 
     ``index`` is index_arcs(arcs). Of equal payloads, the record with the smallest page
-    id is the response; records without a page id are never revisits nor referred to.
+    id is the response, under one id the first by archive and number, all others refer
+    to it; records without a page id are never revisits nor referred to.
     Only the table of repeated digests is joined by digest: those of more than one in
     COMMON records, which are COMMON at most, are broadcast, so that no digest is a hot
     key. Archives without revisits stay where they are; the others meet the lists of
@@ -257,13 +257,13 @@ def convert_arcs(arcs: DataFrame, index: DataFrame, least: int = LEAST_REVISIT)
     """
     large = index.where((F.col("bytes") >= least) & F.col("page_id").isNotNull())
     total = large.count()
-    firsts = stage(large.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "arc-firsts")
+    firsts = stage(large.groupBy("digest").agg(F.min(F.struct("page_id", "archive", "number")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "arc-firsts")
     common = firsts.where(F.col("n") * COMMON > total).select("digest", "first")
     rare = firsts.where(F.col("n") * COMMON <= total).select("digest", "first")
     by_common = large.join(F.broadcast(common), "digest", "left")
-    known = by_common.where("first is not null").select("archive", "number", "page_id", "first")
-    met = by_common.where("first is null").drop("first").join(rare, "digest").select("archive", "number", "page_id", "first")
-    own = stage(known.unionAll(met).where("page_id <> first").groupBy("archive").agg(F.map_from_entries(F.collect_list(F.struct("number", "first"))).alias("revisits")), "arc-revisits")
+    known = by_common.where("first is not null").select("archive", "number", "first")
+    met = by_common.where("first is null").drop("first").join(rare, "digest").select("archive", "number", "first")
+    own = stage(known.unionAll(met).where("archive <> first.archive or number <> first.number").groupBy("archive").agg(F.map_from_entries(F.collect_list(F.struct("number", "first"))).alias("revisits")), "arc-revisits")
     some = among(own.select(F.xxhash64("archive").alias("name")), "name")
     rows = arcs.withColumn("some", some(F.xxhash64("archive")))
     parts = max(1, -(-rows.where("some").agg(F.coalesce(F.sum(F.octet_length("content")), F.lit(0)).alias("n")).first()["n"] // TASK_BYTES))
