@@ -18,6 +18,7 @@ _OWN: dict[str, str] = {}
 ARROW_BYTES = 8_000_000
 FILTER_BITS = 1 << 27
 _ARROW = "spark.sql.execution.arrow.maxBytesPerBatch"
+_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -39,10 +40,18 @@ def bounded(df: DataFrame) -> DataFrame:
 
 
 def stage(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends in files that outlive executors."""
+    """Write ``df`` to the shared folder and read it back: lineage ends in files that outlive executors.
+
+    The shuffle files that the write has left are deleted at once: nothing reads them again.
+    """
     spark = bounded(df).sparkSession
     path = f"{shared_root(spark)}/staged/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    tidy = spark.conf.get(_TIDY)
+    spark.conf.set(_TIDY, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_TIDY, tidy)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_at = path
     return out
