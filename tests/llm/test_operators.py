@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -576,6 +577,40 @@ def test_search_matches_brute_force(spark):
     assert ann.search(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_training_an_index_takes_little_memory():
+    x = np.random.default_rng(6).standard_normal((8000, 8))
+    tracemalloc.start()
+    try:
+        index = ann.train(x, [[i] for i in range(len(x))], 20_000_000)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(index.centres) == 1000
+    assert peak < 60e6  # all distances at once took more than 128 MB
+
+
+def test_search_of_lists_of_several_blocks_and_rare_lengths(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK", 16)
+    monkeypatch.setattr(ann, "PROBED", 7)
+    monkeypatch.setattr(ann, "CELLS", 50)
+    r = np.random.default_rng(5)
+    x = {i: r.standard_normal(3 if i % 50 == 1 or i == 100 else 8) for i in range(400)}
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in x.items()], "vec_id long, embedding array<double>")
+    found = defaultdict(list)
+    for q in ann.search(df, df.where("vec_id % 50 = 0")).orderBy("query_id", "rank").collect():
+        found[q.query_id].append(q.vec_id)
+    cosine = lambda a, b: float(a @ b / np.sqrt((a @ a) * (b @ b)))
+    hits = 0
+    for q in range(0, 400, 50):
+        best = sorted((i for i in x if i != q and len(x[i]) == len(x[q])), key=lambda i: -cosine(x[i], x[q]))[:5]
+        assert len(found[q]) == 5
+        hits += len(set(best) & set(found[q]))
+    assert hits >= 38
+    monkeypatch.setattr(ann, "SAMPLE_VALUES", 1)  # no length is in the sample
+    few = ann.search(df, df.where("vec_id % 50 = 0")).groupBy("query_id").count().collect()
+    assert [x["count"] for x in few] == [5] * 8
+
+
 # --- 6, 7
 
 
