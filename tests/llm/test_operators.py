@@ -472,6 +472,60 @@ def test_toxicity(spark, empty, odd):
     assert toxicity.score_toxicity(empty, toxicity.fit(empty, known.limit(0))).count() == 0
 
 
+def test_toxicity_learns_from_all_labels(spark):
+    rows = 60_000
+    learned = [i for i in range(rows) if zlib.crc32(str(i).encode()) % 4 != 2]
+    rare = [a + b + "qzx" for a in "qvwxy" for b in "jkzq"]  # no two begin alike
+    # each rare word is in six of the toxic texts, all others are plain
+    at = {i: rare[k // 6] for k, i in enumerate(random.Random(2).sample(learned, 6 * len(rare)))}
+    words = ["alpha", "beta", "gamma", "delta", "epsilon"]
+    texts = [(i, f"{words[i % 5]} {at.get(i, '')} {words[i // 5 % 5]}", None, None) for i in range(rows)]
+    docs = spark.createDataFrame([(i, t) for i, t, _, _ in texts], "doc_id long, text string")
+    known = spark.createDataFrame([(i, int(i in at)) for i in range(rows)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, known)
+    assert all(model.score(f"alpha {w} beta") >= toxicity.THRESHOLD for w in rare)
+    assert model.score("alpha beta gamma") < toxicity.THRESHOLD
+
+
+def test_toxicity_counts_beginnings_in_all_texts(spark, monkeypatch):
+    r = random.Random(3)
+    words = ["".join(r.choice("abcdef") for _ in range(r.randint(2, 8))) for _ in range(150)]
+    rows = [(i, " ".join(r.choice(words[:60] if i % 7 == 0 else words[20:]) for _ in range(r.randint(0, 6))), int(i % 7 == 0)) for i in range(900)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    known = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    counts = defaultdict(lambda: [0, 0])
+    for i, t, y in rows:
+        if zlib.crc32(str(i).encode()) % 4 != 2:
+            own = toxicity.words_and_odd(t)[0]
+            assert own == toxicity.plain_words(t)
+            for f in {"w" + w for w in own} | {"p" + w[:n] for w in own for n in toxicity.PREFIXES if len(w) > n}:
+                counts[f][y] += 1
+    asked, choose = [], toxicity.choose
+    monkeypatch.setattr(toxicity, "choose", lambda own, *size: asked.append((dict((f, [a, b]) for f, a, b in own), size)) or choose(own, *size))
+    toxicity.fit(docs, known)
+    got, size = asked[0]
+    assert sum(size) == sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in range(900))
+    marks = {f: n for f, n in counts.items() if n[1] >= 4 and n[1] >= n[0]}
+    assert marks and marks == {f: n for f, n in got.items() if n[1] >= 4 and n[1] >= n[0]}
+
+
+def test_logistic_takes_equal_rows_together(monkeypatch):
+    r = np.random.default_rng(8)
+    sets = [sorted(set(r.integers(0, 12, r.integers(0, 5)).tolist())) for _ in range(300)]
+    y = np.array([int(2 in x or 7 in x) ^ int(r.random() < 0.05) for x in sets])
+    flat = lambda xs: np.array([j for x in xs for j in x], np.int32)
+    w, bias = toxicity.logistic(flat(sets), np.array([len(x) for x in sets]), 1 - y, y, 12)
+    own = sorted({tuple(x) for x in sets})
+    n = {(x, k): sum(tuple(s) == x and v == k for s, v in zip(sets, y, strict=True)) for x in own for k in (0, 1)}
+    monkeypatch.setattr(toxicity, "CHUNK", 7)
+    w2, bias2 = toxicity.logistic(flat(own), np.array([len(x) for x in own]), *(np.array([n[x, k] for x in own]) for k in (0, 1)), 12)
+    assert np.allclose(w, w2) and abs(bias - bias2) < 1e-9
+    # where no weight can change without raising the loss
+    p = 1 / (1 + np.exp(-np.array([sum(w[j] for j in x) + bias for x in sets])))
+    slope = np.array([sum(p[i] - y[i] for i, x in enumerate(sets) if j in x) for j in range(12)]) + 1.5
+    assert (slope > -0.05).all() and np.abs(slope[w > 0.05]).max() < 0.05
+
+
 # --- 8
 
 

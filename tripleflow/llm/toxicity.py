@@ -31,9 +31,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import bounded, by_bytes, fold, stage, trim, uniform
+from .shared import among, bounded, by_bytes, fold, release, stage, trim, uniform
 
-TRAIN_ROWS = 24_000  # labelled rows that the model is fitted on, at most about so many
+COMMON = 2000  # the character model knows the words that one labelled row in so many has (12 rows at least)
 PREFIXES = (3, 4, 5, 6)
 THRESHOLD = 0.3
 ORDER = 5
@@ -42,6 +42,9 @@ WILD_RUN = 4
 LONG = 32  # tokens from here on are cut where all paths meet
 BATCH_BYTES = 1_500_000
 MEMO = 40_000  # tokens that a worker remembers
+CHUNK = 1_000_000  # entries of the table of features that a step of the fit takes at once
+OTHERS = 2
+KNOWN_BITS = 1 << 24  # of the filter that keeps unlabelled texts out of the join with labels
 
 # fixed values: what characters may stand for
 LEET = {
@@ -303,6 +306,21 @@ def _decodable(s: str) -> bool:
     return letters >= 2 or letters > 0 and len(s) >= 4
 
 
+def plain_words(text: str) -> set[str]:
+    """The plain words of ``words_and_odd``."""
+    words = set()
+    for t in set(text.lower().split()):
+        if t.isalpha():
+            words.add(t)
+            continue
+        s = t.strip(_EDGES)
+        if s.isalpha():
+            words.add(s)
+        elif s and _decodable(s):
+            words.update(p for p in _JOINT.split(s) if p)
+    return words
+
+
 def words_and_odd(text: str) -> tuple[set[str], set[str]]:
     """Plain words of a text, and tokens that may be disguised ones; a-z case is dropped."""
     low = text.lower()
@@ -339,6 +357,7 @@ class Scorer:
         self.words = {k[1:]: v for k, v in weights.items() if k[0] == "w"}
         self.starts = {n: {k[1:]: v for k, v in weights.items() if k[0] == "p" and len(k) == n + 1} for n in PREFIXES}
         self.memo: dict[str, list[str]] = {}
+        self.heads = {k[1:4] for k in weights}  # no other word has a weight
 
     def restore(self, tokens: set[str]) -> None:
         """Decode ``tokens`` that the memo doesn't hold."""
@@ -358,6 +377,7 @@ class Scorer:
 
     def _score(self, words: set[str], odd: set[str]) -> float:
         words.update(w for token in odd for w in self.memo[token] if len(w) > 1)
+        words = {w for w in words if w[:3] in self.heads}
         # sorted: the same sum on every run
         total = self.bias + sum(self.words[w] for w in sorted(self.words.keys() & words))
         for n, known in self.starts.items():
@@ -376,81 +396,156 @@ def choose(counts: list[tuple[str, int, int]], n0: int, n1: int) -> list[str]:
     return [f for _, f in sorted(out)]
 
 
-def logistic(rows: list[list[int]], y: np.ndarray, features: int, penalty: float = 1.5, steps: int = 400) -> tuple[np.ndarray, float]:
-    """Weights of at least 0 and a bias: logistic regression with an L1 penalty, by accelerated proximal steps."""
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    column = np.array([i for r in rows for i in r], np.int64)
-    w, z, bias, t = np.zeros(features), np.zeros(features), float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))), 1.0
-    most = np.bincount(owner, minlength=max(1, len(rows))).max(initial=1) + 1
-    reach = np.bincount(column, minlength=features) * most / 4 + 1e-9  # a bound on the curvature, feature by feature
+def logistic(column: np.ndarray, sizes: np.ndarray, n0: np.ndarray, n1: np.ndarray, features: int, penalty: float = 1.5, steps: int = 400) -> tuple[np.ndarray, float]:
+    """Weights of at least 0 and a bias: logistic regression with an L1 penalty, by accelerated proximal steps.
+
+    A row has ``sizes`` features, one row's after the other's in ``column``, and stands
+    for n0 documents without and n1 with the label.
+    """
+    rows, total, marked = len(sizes), float(n0.sum() + n1.sum()), float(n1.sum())
+    n0, n1 = n0.astype(np.float64), n1.astype(np.float64)
+    column, owner = column.astype(np.int32, copy=False), np.repeat(np.arange(rows, dtype=np.int32), sizes)
+    cuts = [slice(a, a + CHUNK) for a in range(0, len(column), CHUNK)]
+
+    def by_feature(of_row: np.ndarray) -> np.ndarray:
+        out = np.zeros(features)
+        for c in cuts:
+            out += np.bincount(column[c], of_row[owner[c]], minlength=features)
+        return out
+
+    def by_row(of_feature: np.ndarray) -> np.ndarray:
+        out = np.zeros(rows)
+        for c in cuts:
+            own, first = owner[c], int(owner[c.start])
+            part = np.bincount(own - first, of_feature[column[c]])
+            out[first : first + len(part)] += part
+        return out
+
+    w, z, bias, t = np.zeros(features), np.zeros(features), float(np.log((marked + 0.5) / (total - marked + 0.5))), 1.0
+    most = int(sizes.max(initial=1)) + 1
+    reach = by_feature(n0 + n1) * most / 4 + 1e-9  # a bound on the curvature, feature by feature
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(owner, z[column], minlength=len(rows)) + bias, -40, 40)))
-        grad = np.bincount(column, (p - y)[owner], minlength=features)
-        new = np.maximum(0.0, z - (grad + penalty) / reach)
-        bias -= float((p - y).sum() / (len(y) * most / 4 + 1e-9))
+        p = 1 / (1 + np.exp(-np.clip(by_row(z) + bias, -40, 40)))
+        off = n0 * p - n1 * (1 - p)
+        new = np.maximum(0.0, z - (by_feature(off) + penalty) / reach)
+        bias -= float(off.sum() / (total * most / 4 + 1e-9))
         after = (1 + math.sqrt(1 + 4 * t * t)) / 2
         z, w, t = new + (t - 1) / after * (new - w), new, after
     return w, bias
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, label_col: str = "toxic") -> Scorer:
-    """Fit on about ``rows`` hash-chosen labelled documents out of the held-out fold.
+def features_of(words: set[str]) -> set[str]:
+    """A word's features begin with ``w`` and ``p``: itself, and its beginnings."""
+    out = {"w" + w for w in words}
+    for n in PREFIXES:
+        out.update("p" + h for h in {w[:n] for w in words if len(w) > n})
+    return out
+
+
+def among_these(words: list[str], heads: set[str], wanted: set[str] | dict[str, int]) -> set[str]:
+    """The features of ``words`` that are ``wanted``, whose first three letters are ``heads``."""
+    return {f for f in features_of({w for w in words if w[:3] in heads}) if f in wanted}
+
+
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic") -> Scorer:
+    """Fit on all labelled documents out of the held-out fold.
+
+    Words are counted in all of them. Beginnings of words are counted in those with the
+    label and in about OTHERS times as many without: what is there commoner without than
+    with it can't be chosen, and only the others are counted in the rest too.
 
-    Counts of features that may mark the label and of common words, and which of the
-    chosen features each of those documents has, reach the driver.
+    To the driver come the counts of features that may mark the label and of common
+    words, and each set of chosen features that documents have, with the number of
+    those documents, four bytes a feature.
     """
-    known = labels.where((fold("doc_id") != 2) & F.col(label_col).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label_col).cast("int").alias("y"))
-    rate = rows / max(1, known.count())
-    pick = uniform(F.col("doc_id").cast("long"), F.lit("toxicity")) < rate
-    picked = docs.where(pick & (fold("doc_id") != 2)).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    pairs = stage(known.where(pick).groupBy("doc_id").agg(F.max("y").alias("y")).join(picked, "doc_id").select("y", "text"), "tox-train")
+    spark = docs.sparkSession
+    known = labels.where((fold("doc_id") != 2) & F.col(label_col).isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y"))
+    known = stage(known.groupBy("doc_id").agg(F.max("y").alias("y")), "tox-known")
+    marked = known.where("y = 1").count()
+    early = (F.col("y") == 1) | (uniform(F.col("doc_id"), F.lit("toxicity")) < OTHERS * marked / max(1, known.count() - marked))
+
+    def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_bytes(batches, 1, BATCH_BYTES):
+            words = [" ".join(plain_words(text or "")) for text in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.string())], names=["doc_id", "words"])
+        trim()
 
-    def own_features(text: str) -> set[str]:
-        words, _ = words_and_odd(text)
-        return {"w" + w for w in words} | {"p" + w[:n] for w in words for n in PREFIXES if len(w) > n}
+    picked = docs.where(fold("doc_id") != 2).select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(among(known, "doc_id", KNOWN_BITS)(F.col("doc_id")))
+    pairs = picked.mapInArrow(words_of, "doc_id long, words string").join(known, "doc_id")
+    pairs = stage(pairs.select((F.col("y") == 1).cast("int").alias("y"), early.alias("early"), "words"), "tox-train")
+    n, n1 = pairs.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: tuple[Counter, Counter] = (Counter(), Counter())
 
         def flush() -> pa.RecordBatch:
-            names = sorted(seen[0].keys() | seen[1].keys())
+            names = list(seen[0].keys() | seen[1].keys())
             out = pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *[pa.array([s[f] for f in names], pa.int64()) for s in seen]], names=["feature", "n0", "n1"])
             for s in seen:
                 s.clear()
             return out
 
         for batch in batches:
-            for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                seen[1 if y == 1 else 0].update(own_features(text))
-                seen[1 if y == 1 else 0]["n"] += 1
+            for y, whole, words in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                own = set(words.split())
+                seen[y].update(features_of(own) if whole else ["w" + w for w in own])
                 if len(seen[0]) + len(seen[1]) > 400_000:
                     yield flush()
         if seen[0] or seen[1]:
             yield flush()
+        trim()
 
     counts = pairs.mapInArrow(features, "feature string, n0 long, n1 long").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    common = F.col("n0") + F.col("n1")
-    wanted = counts.where((F.col("feature") == "n") | ((F.col("n1") >= 4) & (F.col("n1") >= F.col("n0"))) | ((F.substring("feature", 1, 1) == "w") & (common >= max(4, rows // 2000)))).collect()
-    size = next(((r["n0"], r["n1"]) for r in wanted if r["feature"] == "n"), (0, 0))
-    own = [r for r in wanted if r["feature"] != "n"]
-    chosen = choose([(r["feature"], r["n0"], r["n1"]) for r in own], *size)
-    number = {f: i for i, f in enumerate(chosen)}
+    common = (F.substring("feature", 1, 1) == "w") & (F.col("n0") + F.col("n1") >= max(12, n // COMMON))
+    own = {r["feature"]: (r["n0"], r["n1"]) for r in counts.where(((F.col("n1") >= 4) & (F.col("n1") >= F.col("n0"))) | common).collect()}
+    begun = spark.sparkContext.broadcast({f for f, (a, b) in own.items() if f[0] == "p" and b >= 4 and b >= a})
+
+    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, heads = Counter(), {f[1:4] for f in begun.value}
+        for batch in batches:
+            for words in batch.column(0).to_pylist():
+                seen.update(among_these(words.split(), heads, begun.value))
+        yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], names=["feature", "n0"])
+
+    if begun.value:
+        for r in pairs.where("not early").select("words").mapInArrow(rest, "feature string, n0 long").groupBy("feature").agg(F.sum("n0").alias("n0")).collect():
+            own[r["feature"]] = own[r["feature"]][0] + r["n0"], own[r["feature"]][1]
+    size = n - n1, n1
+    chosen = choose([(f, a, b) for f, (a, b) in own.items()], *size)
+    number = spark.sparkContext.broadcast({f: i for i, f in enumerate(chosen)})
 
     def occurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heads = {f[1:4] for f in number.value}
+        for batch in batches:
+            seen: Counter = Counter()
+            for y, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                has = sorted(number.value[f] for f in among_these(words.split(), heads, number.value))
+                seen[np.array(has, "<i4").tobytes(), y] += 1
+            sets = list({has for has, _ in seen})
+            yield pa.RecordBatch.from_arrays([pa.array(sets, pa.binary()), *(pa.array([seen[has, y] for has in sets], pa.int64()) for y in (0, 1))], names=["has", "n0", "n1"])
+        trim()
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            has = [sorted(number[f] for f in own_features(text) & number.keys()) for text in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int32()), pa.array(has, pa.list_(pa.int32()))], names=["y", "has"])
+            has = batch.column(0).to_pylist()
+            values = [b"".join(has), np.array([len(x) // 4 for x in has], np.int32).tobytes(), *(batch.column(k).to_numpy().astype(np.int64).tobytes() for k in (1, 2))]
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in values], names=["has", "size", "n0", "n1"])
 
     weights: dict[str, float] = {}
     bias = math.log((size[1] + 0.5) / (size[0] + 0.5)) if sum(size) else -3.0
     if chosen:
-        table = sorted(((r["y"] == 1, r["has"]) for r in pairs.mapInArrow(occurring, "y int, has array<int>").collect()), key=str)
-        w, bias = logistic([has for _, has in table], np.array([float(y) for y, _ in table]), len(chosen))
+        sets = pairs.select("y", "words").mapInArrow(occurring, "has binary, n0 long, n1 long").groupBy("has").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+        # sorted: the same sums on every run
+        got = stage(sets, "tox-sets").orderBy("has").mapInArrow(packed, "has binary, size binary, n0 binary, n1 binary").collect()
+        table = [np.frombuffer(b"".join(r[k] for r in got), kind) for k, kind in enumerate((np.int32, np.int32, np.int64, np.int64))]
+        del got
+        w, bias = logistic(*table, len(chosen))
         weights = {f: float(x) for f, x in zip(chosen, w, strict=True) if x > 0.05}
-    words = Counter({r["feature"][1:]: r["n0"] + r["n1"] for r in own if r["feature"][0] == "w"})
+    release(pairs)
+    words = Counter({f[1:]: a + b for f, (a, b) in own.items() if f[0] == "w"})
     # what marks the label is what disguises hide
     for f in weights:
-        words[f[1:]] += 200 if f[0] == "w" else 40
+        words[f[1:]] += max(200, n // 120) if f[0] == "w" else max(40, n // 600)
     return Scorer(weights, bias, CharModel(words))
 
 
