@@ -191,6 +191,32 @@ def test_families_without_an_original(spark, percent):
     assert 1 < sum(kept for _, _, kept in found.values()) < len(rows)
 
 
+def test_sets_without_pairs_are_not_shuffled(spark):
+    own = [(i, 1, 4, np.array([i, 1000, 2000, 3000], np.uint64).tobytes()) for i in range(500)] + [(600, 1, 4, np.array([7, 1000, 2000, 3000], np.uint64).tobytes())]
+    sets = near_dup.stage(spark.createDataFrame(own, near_dup._SETS), "test-sets")
+    pairs = near_dup.stage(spark.createDataFrame([(600, 1, 7, 1, 600, 7), (8, 1, 9, 1, 8, 9)], "rep long, f1 long, leader long, leader_f1 long, ca long, cb long"), "test-pairs")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        links = near_dup.verified(pairs, sets, 85)
+        assert [tuple(x) for x in links.collect()] == [(600, 7)]
+        plan, written = links._jdf.queryExecution().executedPlan().finalPhysicalPlan(), []
+
+        def walk(node):
+            metrics = node.metrics()
+            if node.nodeName() == "Exchange":
+                written.append(metrics.apply("shuffleRecordsWritten").value())
+            for k in range(node.children().size()):
+                walk(node.children().apply(k))
+            if "QueryStage" in node.nodeName():
+                walk(node.plan())
+
+        walk(plan)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(written) >= 4 and sum(written) < 50  # all sets are 501 on either side
+
+
 def test_chains_take_few_rounds(spark, monkeypatch):
     staged = []
     monkeypatch.setattr(near_dup, "stage", lambda df, tag, own=near_dup.stage: staged.append(tag) or own(df, tag))

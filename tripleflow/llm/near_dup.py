@@ -31,6 +31,7 @@ BANDS = 20  # of SLOTS / BANDS slots: a pair at 0.85 shares none with probabilit
 LOW_BANDS = 25  # below 0.85: a pair at 0.8 shares none with probability 2e-6
 BATCH_WORDS = 60_000
 KNOWN_WORDS = 100_000
+KEY_BITS = 1 << 24  # of a filter that keeps rows without a match out of a join's shuffle
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -210,7 +211,10 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b): components ca and cb of those ``pairs`` (rep, f1, leader, leader_f1, ca, cb) whose full sets have 100 * intersection >= percent * union."""
+    """(a, b): components ca and cb of those ``pairs`` (rep, f1, leader, leader_f1, ca, cb) whose full sets have 100 * intersection >= percent * union.
+
+    Sets of which no pair is on a join's side stay out of its shuffle.
+    """
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -224,8 +228,8 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     good[i] = 100 * both >= percent * (len(p) + len(q) - both)
             yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(good))
 
-    left = sets.select("rep", "f1", F.col("shingles").alias("x"))
-    right = sets.select(F.col("rep").alias("leader"), F.col("f1").alias("leader_f1"), F.col("shingles").alias("y"))
+    left = sets.where(among(pairs, "rep", KEY_BITS)(F.col("rep"))).select("rep", "f1", F.col("shingles").alias("x"))
+    right = sets.where(among(pairs, "leader", KEY_BITS)(F.col("rep"))).select(F.col("rep").alias("leader"), F.col("f1").alias("leader_f1"), F.col("shingles").alias("y"))
     return pairs.join(left, ["rep", "f1"]).join(right, ["leader", "leader_f1"]).select("ca", "cb", "x", "y").mapInArrow(check, "a long, b long").distinct()
 
 
@@ -313,7 +317,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     classes = stage(some.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("copies")), "near-classes")
     rows = classes.where(F.col("rep").isNotNull()).select("rep", "f1", "n", F.explode("bands").alias("key"))
     shared_keys = stage(rows.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "near-buckets")
-    members = stage(rows.join(shared_keys, "key"), "near-members")
+    # most keys are one class's own
+    members = stage(rows.where(among(shared_keys, "key", KEY_BITS)(F.col("key"))).join(shared_keys, "key"), "near-members")
     # ids with several texts tie their classes together
     several = some.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("f1").alias("low"), F.max("f1").alias("high")).where("low < high").select("doc_id")
     ties = some.select("doc_id", "f1", "f2").join(several, "doc_id", "left_semi").join(classes.select("f1", "f2", "rep"), ["f1", "f2"])
