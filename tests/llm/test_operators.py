@@ -456,6 +456,32 @@ def test_cuts_of_long_tokens_change_nothing(tokens):
     assert [v for v, _ in cut] == pytest.approx([v for v, _ in whole], abs=1e-3)
 
 
+def test_decoding_takes_little_memory(monkeypatch):
+    rng = random.Random(4)
+    model = toxicity.CharModel(Counter({"".join(rng.choices("aeiorstlnd", k=rng.randint(3, 7))): 3 for _ in range(500)} | {"stupid": 9}))
+    short = sorted({"".join(rng.choices("abst01$", k=rng.randint(4, 9))) for _ in range(4000)})
+
+    def peak(tokens):
+        tracemalloc.start()
+        got = model.decode_all(tokens)
+        top = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return got, top
+
+    # a long token beside many short ones
+    alone, top = peak(short)
+    long = "ê. " * 1000 + "5tup1d"
+    beside, top_beside = peak([*short, long])
+    assert beside == [*alone, *model.decode_all([long])]
+    assert top_beside < top + 5e6  # as many steps for all took 240 MB
+    # wildcards that leave thousands of states open at each step
+    tops = [peak(["*-" * n + "5tup1d"])[1] for n in (50, 150)]
+    assert tops[1] < tops[0] + 2e6
+    # characters are dropped early, with the same result
+    monkeypatch.setattr(toxicity, "PATHS", 50)
+    assert model.decode_all([*short, long]) == beside
+
+
 def test_long_tokens_are_read_whole():
     words = Counter({"stupid": 300, "idiot": 300, "hello": 200, "world": 200, "nothing": 100, "you": 300})
     scorer = toxicity.Scorer({"wstupid": 5.0, "widiot": 5.0}, -3.0, toxicity.CharModel(words))

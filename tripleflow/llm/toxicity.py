@@ -23,7 +23,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +42,7 @@ WILD_RUN = 4
 LONG = 32  # tokens from here on are cut where all paths meet
 BATCH_BYTES = 1_500_000
 MEMO = 40_000  # tokens that a worker remembers
+PATHS = 1_000_000  # characters that decoding holds before it drops those that no path leads back to
 CHUNK = 1_000_000  # entries of the table of features that a step of the fit takes at once
 OTHERS = 2
 KNOWN_BITS = 1 << 24  # of the filter that keeps unlabelled texts out of the join with labels
@@ -205,20 +206,41 @@ class CharModel:
         return [(v, " ".join(t.split())) for v, t in zip(values, texts, strict=True)]
 
     def _side_by_side(self, pieces: list[tuple[str, int, int, int, int]]) -> list[tuple[float, str]]:
-        rows, width = len(pieces), max(len(p[0]) for p in pieces)
-        codes = np.zeros((rows, width + 1), np.int32)
-        for i, p in enumerate(pieces):
-            codes[i, : len(p[0])] = np.frombuffer(p[0].encode("utf-32-le", "surrogatepass"), np.int32)
+        """Values and texts of ``pieces``, a character of all of them a step; a piece that has ended takes part no more."""
+        sizes = np.array([len(p[0]) for p in pieces])
+        starts = np.cumsum(sizes + 1) - sizes  # a zero stands before each piece
+        codes = np.frombuffer(("\0" + "\0".join(p[0] for p in pieces)).encode("utf-32-le", "surrogatepass"), np.int32)
         # equal to the last character that is no gap; runs of plain gaps are one space by now
         twice = np.zeros(codes.shape, bool)
-        twice[:, 1:] = codes[:, 1:] == codes[:, :-1]
-        twice[:, 2:] |= (codes[:, 1:-1] == 32) & (codes[:, 2:] == codes[:, :-2])
+        twice[1:] = codes[1:] == codes[:-1]
+        twice[2:] |= (codes[1:-1] == 32) & (codes[2:] == codes[:-2])
         twice &= (_KIND[codes] & (_OVER | _PASSED)) == 0
-        tok, node = np.arange(rows), np.array([p[1] for p in pieces], np.int32)
-        value = np.zeros(rows)
-        back: list[tuple[np.ndarray, np.ndarray]] = []
-        for i in range(width):
-            c = codes[tok, i]
+        tails = np.array([p[2] for p in pieces])
+        tok, node, value = np.arange(len(pieces)), np.array([p[1] for p in pieces], np.int32), np.zeros(len(pieces))
+        ends, totals = np.zeros(len(pieces), np.int64), np.zeros(len(pieces))
+        ending, rows = {int(n) for n in sizes}, len(pieces)
+        back = _Paths(len(pieces))
+        for i in range(max(ending) + 1):
+            live = None
+            if i in ending:
+                at = np.flatnonzero(sizes[tok] == i)
+                total = value[at]
+                for k in range(WILD_RUN + 1):
+                    of = np.flatnonzero(tails[tok[at]] == k)
+                    total[of] += self.tails[k][node[at[of]]]
+                best = np.argsort(-total, kind="stable")
+                best = best[np.argsort(tok[at[best]], kind="stable")]
+                best = best[np.concatenate(([True], np.diff(tok[at[best]]) > 0))]
+                won = at[best]
+                ends[tok[won]], totals[tok[won]] = node[won], total[best]
+                back.end(tok[won], won)
+                live = np.flatnonzero(sizes[tok] > i)
+                if not len(live):
+                    break
+                tok, node, value = tok[live], node[live], value[live]
+                rows = int((sizes > i).sum())
+            here = starts[tok] + i
+            c = codes[here]
             kind = _KIND[c]
             parents, nodes, values, written = [], [], [], []
 
@@ -230,8 +252,6 @@ class CharModel:
             log, to = self.write(node[at], c[at])
             offer(at, to, value[at] + log, c[at])
             if len(at) < len(tok):
-                at = np.flatnonzero(kind == _OVER)
-                offer(at, node[at], value[at], np.zeros(len(at), np.int32))
                 at = np.flatnonzero(kind & _PASSED)
                 offer(at, node[at], value[at] - SKIP, np.zeros(len(at), np.int32))
                 at = at[node[at] != self.start]
@@ -242,14 +262,14 @@ class CharModel:
                     at = swapped[c[swapped] == char]
                     log, to = self.az_log[node[at]][:, letters - 97], self.az_next[node[at]][:, letters - 97]
                     offer(np.repeat(at, len(letters)), to.ravel(), (value[at][:, None] - cost + log).ravel(), np.tile(letters, len(at)).astype(np.int32))
-            at = np.flatnonzero(twice[tok, i])
+            at = np.flatnonzero(twice[here])
             offer(at, node[at], value[at] - COLLAPSE, np.zeros(len(at), np.int32))
             parent, to, v, w = (np.concatenate(x) for x in (parents, nodes, values, written))
             own = tok[parent]
             best = np.arange(len(parent))
             if len(parent) > rows:
                 # of the paths that meet in a state of a token the likeliest goes on
-                several = (np.bincount(own, minlength=rows) > 1)[own]
+                several = (np.bincount(own) > 1)[own]
                 many = np.flatnonzero(several)
                 key = own[many].astype(np.int64) * self.size + to[many]
                 by_key = np.argsort(key, kind="stable")
@@ -260,36 +280,81 @@ class CharModel:
                 at = at[np.concatenate(([True], key[at][1:] != key[at][:-1]))]
                 best = np.concatenate((best[~several], many[at]))
             parent = parent[best]
-            back.append((parent, w[best]))
             tok, node, value = tok[parent], to[best], v[best]
-        tails = np.array([p[2] for p in pieces])[tok]
-        total = value.copy()
-        for k in range(WILD_RUN + 1):
-            at = np.flatnonzero(tails == k)
-            total[at] += self.tails[k][node[at]]
-        best = np.argsort(-total, kind="stable")
-        best = best[np.argsort(tok[best], kind="stable")]
-        at = best[np.concatenate(([True], np.diff(tok[best]) > 0))]
-        ends, totals = node[at], total[at]
-        out = np.zeros((rows, width), np.int32)
-        for i in range(width - 1, -1, -1):
-            parent, w = back[i]
-            out[:, i] = w[at]
-            at = parent[at]
-        texts = []
-        for i, p in enumerate(pieces):
-            text = out[i][out[i] > 0].astype("<i4").tobytes().decode("utf-32-le", "surrogatepass")
+            back.step(parent if live is None else live[parent], w[best])
+        # the texts, a newline before each
+        out = np.zeros(len(codes), "<i4")
+        out[starts - 1] = 10
+        for i, (at, chars) in enumerate(back.read(), 1):
+            out[starts[at] + sizes[at] - i] = chars
+        texts = out[out > 0].tobytes().decode("utf-32-le", "surrogatepass").split("\n")[1:]
+        for i in np.flatnonzero(tails).tolist():
             n = int(ends[i])
-            for k in range(p[2], 0, -1):
+            for k in range(pieces[i][2], 0, -1):
                 choice = int(self.choices[k][n])
                 if choice >= 0:
-                    text, n = text + chr(97 + choice), int(self.az_next[n, choice])
+                    texts[i], n = texts[i] + chr(97 + choice), int(self.az_next[n, choice])
                 elif choice == -2:
-                    text, n = text + " ", self.start
-            texts.append(text)
+                    texts[i], n = texts[i] + " ", self.start
         return list(zip(totals.tolist(), texts, strict=True))
 
 
+class _Paths:
+    """What paths have written: each character once, and the place of the one before it.
+
+    Characters that no path leads back to are dropped now and then. Paths soon have their
+    beginnings in common, so what is held hardly grows with their number times the
+    length of a token.
+    """
+
+    def __init__(self, paths: int):
+        self.last, self.ended = np.full(paths, -1, np.int32), np.full(paths, -1, np.int32)  # by path, by token; -1 for nothing
+        self.before: list[np.ndarray] = []
+        self.chars: list[np.ndarray] = []
+        self.held, self.most = 0, PATHS
+
+    def end(self, tokens: np.ndarray, paths: np.ndarray) -> None:
+        self.ended[tokens] = self.last[paths]
+
+    def step(self, parent: np.ndarray, written: np.ndarray) -> None:
+        self.last = self.last[parent]
+        at = np.flatnonzero(written)
+        self.before.append(self.last[at])
+        self.chars.append(written[at])
+        self.last[at] = np.arange(self.held, self.held + len(at))
+        self.held += len(at)
+        if self.held > self.most:
+            self._sweep()
+            self.most = max(PATHS, 2 * self.held)
+
+    def _sweep(self) -> None:
+        used = np.zeros(self.held + 1, bool)  # the last entry takes the -1
+        used[self.last] = used[self.ended] = True
+        a = self.held
+        for before in reversed(self.before):
+            b, a = a, a - len(before)
+            used[before[used[a:b]]] = True
+        place = np.append(np.cumsum(used[:-1], dtype=np.int32) - 1, np.int32(-1))
+        kept, a = [], 0
+        for before, chars in zip(self.before, self.chars, strict=True):
+            own = used[a : a + len(before)]
+            a += len(before)
+            if own.any():
+                kept.append((place[before[own]], chars[own]))
+        self.before, self.chars = [x for x, _ in kept], [x for _, x in kept]
+        self.last, self.ended, self.held = place[self.last], place[self.ended], int(used[:-1].sum())
+
+    def read(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Tokens and the characters that they write, from the last of each to the first."""
+        tokens = np.flatnonzero(self.ended >= 0)
+        if len(tokens):
+            before, chars, at = np.concatenate(self.before), np.concatenate(self.chars), self.ended[tokens]
+        while len(tokens):
+            yield tokens, chars[at]
+            at = before[at]
+            tokens, at = tokens[at >= 0], at[at >= 0]
+
+
 def _meetings(body: str) -> list[int]:
     """Places at least LONG / 2 apart before which stand four letters none of which repeats its forerunner; nor does what follows."""
     out, run, last = [], 0, 0
@@ -371,13 +436,15 @@ class Scorer:
         return self.score_all([text])[0]
 
     def score_all(self, texts: list[str | None]) -> list[float]:
-        read = [words_and_odd(t or "") for t in texts]
+        read = [(self._known(words), odd) for words, odd in (words_and_odd(t or "") for t in texts)]
         self.restore({token for _, odd in read for token in odd})
         return [self._score(words, odd) for words, odd in read]
 
+    def _known(self, words: Iterable[str]) -> set[str]:
+        return {w for w in words if w[:3] in self.heads}
+
     def _score(self, words: set[str], odd: set[str]) -> float:
-        words.update(w for token in odd for w in self.memo[token] if len(w) > 1)
-        words = {w for w in words if w[:3] in self.heads}
+        words = words | self._known(w for token in odd for w in self.memo[token] if len(w) > 1)
         # sorted: the same sum on every run
         total = self.bias + sum(self.words[w] for w in sorted(self.words.keys() & words))
         for n, known in self.starts.items():
