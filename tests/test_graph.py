@@ -271,3 +271,22 @@ def test_series(spark):
     assert rows(telemetry.storage_series(log, "n0", "file", F.col("disk") == 1)) == [(0, 1, 0), (1, 1, 1), (2, 0, 2), (3, 1, 1), (4, 2, 1)]
     assert rows(telemetry.flush_rate(log, "n0", "file", 3, F.col("v") > 5, F.col("disk") == 1)) == [(0, "a", 0.0), (0, "b", 0.0), (1, "b", 100.0), (1, "c", 100.0)]
     assert rows(telemetry.last_values(log, "n0", "file", 3, F.col("v"))) == [(0, "a", 7), (0, "b", 6), (1, "b", 8), (1, "c", 9)]
+
+
+def test_offset_without_limit_leaves_out_no_row(spark, tmp_path):
+    from tripleflow import queries
+
+    for name, columns in (("region", "id r_regionkey, 'x' r_name"), ("nation", "id n_nationkey, 'x' n_name, 0L n_regionkey"), ("customer", "id c_custkey, 'x' c_name, 0L c_nationkey, 0D c_acctbal, 'x' c_mktsegment"), ("supplier", "id s_suppkey, 'x' s_name, 0L s_nationkey, 0D s_acctbal")):
+        spark.range(1).selectExpr(*columns.split(", ")).write.parquet(str(tmp_path / f"{name}.parquet"))
+    spark.range(1_000_100).selectExpr("id o_orderkey", "id % 7 o_custkey", "'F' o_orderstatus", "0D o_totalprice", "'d' o_orderdate", "'p' o_orderpriority").write.parquet(str(tmp_path / "orders.parquet"))
+    assert rows(queries.queries()["slice_offset"](spark, str(tmp_path))) == [(1_000_090, 1_000_090)]
+
+
+def test_offset_by_task_and_place(spark):
+    from tripleflow.plans.planner import after
+
+    df = spark.range(0, 20, numPartitions=5)
+    for n in (0, 1, 4, 7, 19, 20, 30):
+        out = after(df, n)
+        assert out.count() == max(0, 20 - n) == out.distinct().count()
+        assert "GlobalLimit" not in out._jdf.queryExecution().optimizedPlan().toString()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import settled
 from .algebra import Bgp, Plan, Project, Slice, TriplePattern, Var, shape
 
 
@@ -51,6 +52,17 @@ def join(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.join(right, on).select(*[F.col(f"`{c}`") for c in names])
 
 
+def after(df: DataFrame, offset: int) -> DataFrame:
+    """All rows but the first of a written copy, in the order of its tasks: no task gets all rows."""
+    held = settled(df.withColumn("#row", F.monotonically_increasing_id()))
+    sizes = {r["task"]: r["n"] for r in held.groupBy(F.shiftright("#row", 33).alias("task")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    for task, n in sorted(sizes.items()):
+        if offset < n:
+            return held.where(F.col("#row") >= (task << 33) + offset).drop("#row")
+        offset -= n
+    return held.where(F.lit(False)).drop("#row")
+
+
 def compile_plan(graph, plan: Plan, tree: str = "LEFT_LINEAR", single: bool = False) -> DataFrame:
     """``single``: every pattern's rows go to one task, as a check on the distributed plan."""
 
@@ -62,8 +74,10 @@ def compile_plan(graph, plan: Plan, tree: str = "LEFT_LINEAR", single: bool = Fa
 
     if isinstance(plan, Slice):
         df = compile_plan(graph, plan.child, tree, single)
+        if plan.limit is None:
+            return after(df, plan.offset) if plan.offset else df
         df = df.offset(plan.offset) if plan.offset else df
-        return df if plan.limit is None else df.limit(plan.limit)
+        return df.limit(plan.limit)
     if isinstance(plan, Project):
         return compile_plan(graph, plan.child, tree, single).select(*[F.col(f"`{v}`") for v in plan.names])
     assert isinstance(plan, Bgp)

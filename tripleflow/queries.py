@@ -219,7 +219,7 @@ _COVER_CHECK = "SELECT count(*) AS placed, count(*) AS different, 0::BIGINT AS o
 
 OTHERS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "slice_limit": (lambda s, d: _slice(s, d, "LIMIT 25"), "SELECT least(25, count(*)) AS n, least(25, count(*)) AS inside FROM orders"),
-    "slice_offset": (lambda s, d: _slice(s, d, "OFFSET 10 LIMIT 1000000"), "SELECT greatest(0, count(*) - 10) AS n, greatest(0, count(*) - 10) AS inside FROM orders"),
+    "slice_offset": (lambda s, d: _slice(s, d, "OFFSET 10"), "SELECT greatest(0, count(*) - 10) AS n, greatest(0, count(*) - 10) AS inside FROM orders"),
     "slice_zero": (lambda s, d: _slice(s, d, "LIMIT 0"), "SELECT 0::BIGINT AS n, 0::BIGINT AS inside"),
     "tp_repeated_var": (_self_loops, f"WITH {_graph(SMALL)} SELECT s AS x, '<urn:same>' AS p FROM t WHERE p = '{RDF_TYPE}'"),
     **{f"check_{k}": (_cover_check(name), f"WITH {_graph(PLACED)} {_COVER_CHECK}") for k, name in (("hierarchical", "HIERARCHICAL"), ("mec", "MIN_EDGE_CUT"), ("mec_over", "MEC_OVER"), ("edge_coloring", "EDGE_COLORING"), ("molecule", "MOLECULE_HASH"))},
