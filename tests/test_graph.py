@@ -290,3 +290,20 @@ def test_offset_by_task_and_place(spark):
         out = after(df, n)
         assert out.count() == max(0, 20 - n) == out.distinct().count()
         assert "GlobalLimit" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_level_is_hashed_once_a_subject(spark):
+    names = [f"<http://x.org/{a}/{b}/{'/'.join('d' * (90 if b == 4 else a))}>" for a in range(4) for b in range(5)] + ["<urn:blankNode:b>", "<urn:n/1>"]
+    df = spark.createDataFrame([(s, "<urn:p>", f'"{i}"') for s in names for i in range(3)], "s string, p string, o string")
+    cover = covers.hierarchical_cover(df, 3)
+    assert cover._jdf.queryExecution().optimizedPlan().toString().count("md5(") <= 4  # 24 when each half and branch had its own
+    parts = {s: [x for x in s[1:-1].split("//")[-1].replace("x.org", "org/x").removeprefix("urn:").split("/") if x] for s in names}
+    level = lambda s, k: s if "blank" in s else "//" + "/".join(parts[s][:k])
+    place = {r.s: r.chunk for r in covers.hash_cover(spark.createDataFrame([(level(s, k), "", "") for s in names for k in range(1, 96)], "s string, p string, o string").distinct(), 3).collect()}
+
+    def spread(k):
+        return sum(n * n for n in (sum(place[level(s, k)] == c for s in names) for c in range(3)))
+
+    best = min(range(1, 96), key=lambda k: (spread(k), k))
+    assert best > 1
+    assert {r.s: r.chunk for r in cover.collect()} == {s: place[level(s, best)] for s in names}

@@ -33,9 +33,11 @@ def restore_blank(term: Column) -> Column:
 
 def fold_hash(term: Column) -> Column:
     """The four 32-bit words of the MD5 of a term's UTF-8 bytes, folded by XOR, as a signed int."""
-    word = [F.conv(F.substring(F.md5(term.cast("binary")), 1 + 8 * i, 8), 16, 10).cast("long") for i in range(4)]
-    x = word[0].bitwiseXOR(word[1]).bitwiseXOR(word[2]).bitwiseXOR(word[3])
-    return F.when(x >= (1 << 31), x - (1 << 32)).otherwise(x).cast("int")
+    digest = F.md5(term.cast("binary"))
+    half = [F.conv(F.substring(digest, at, 16), 16, -10).cast("long") for at in (1, 17)]
+    x = half[0].bitwiseXOR(half[1])
+    x = x.bitwiseXOR(F.shiftrightunsigned(x, 32))
+    return F.shiftright(F.shiftleft(x, 32), 32).cast("int")
 
 
 def hash_chunk(term: Column, chunks: int) -> Column:
@@ -51,4 +53,4 @@ def iri_parts(term: Column) -> Column:
     host = F.when(has_host, F.regexp_extract(bare, "^([^/]*)", 1)).otherwise(F.lit(""))
     path = F.when(has_host, F.regexp_replace(bare, "^[^/]*", "")).otherwise(bare)
     pieces = F.concat(F.reverse(F.split(host, "\\.")), F.split(path, "/"), F.array(F.regexp_extract(rest, "\\?([^#]*)", 1), F.regexp_extract(rest, "#(.*)$", 1)))
-    return F.filter(pieces, lambda x: x != "")
+    return F.array_remove(pieces, "")

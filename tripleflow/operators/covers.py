@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import math
+from collections import Counter, defaultdict
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window
@@ -33,18 +34,22 @@ def hierarchical_cover(triples: DataFrame, chunks: int, levels: int | None = Non
     aggregation; the first wins on ties. An IRI with fewer parts has all of them; blank
     nodes go by their own hash.
     """
-    parts = iri_parts(F.col("s"))
-    prefix = lambda n: F.concat(F.lit("//"), F.array_join(F.slice(parts, 1, n), "/"))
-    blank = F.startswith("s", F.lit(BLANK))
-    at = lambda n: F.when(blank, hash_chunk(F.col("s"), chunks)).otherwise(hash_chunk(prefix(n), chunks))
-    tried = triples.groupBy("s").agg(F.count(F.lit(1)).alias("n"))
-    if levels is None:
-        levels = max(1, triples.agg(F.max(F.size(parts)).alias("m")).first()["m"] or 1)
-    each = tried.select("n", F.explode(F.array(*[F.struct(F.lit(k).alias("level"), at(k).alias("chunk")) for k in range(1, levels + 1)])).alias("x"))
-    sizes = each.groupBy("x.level", "x.chunk").agg(F.sum("n").alias("n"))
-    spread = sizes.groupBy("level").agg((F.sum(F.col("n") * F.col("n")) / chunks - F.pow(F.sum("n") / chunks, 2)).alias("v"))
-    best = spread.orderBy("v", "level").first()  # a row for each level
-    return triples.withColumn("chunk", at(best["level"] if best else 1))
+    name = lambda parts, n: F.when(F.startswith("s", F.lit(BLANK)), F.col("s")).otherwise(F.concat(F.lit("//"), F.array_join(F.slice(parts, 1, n), "/")))
+    tried = triples.groupBy("s").agg(F.count(F.lit(1)).alias("n")).select("s", "n", iri_parts(F.col("s")).alias("parts"))
+    own = F.greatest(F.lit(1), F.size("parts"))
+    own = own if levels is None else F.least(F.lit(max(1, levels)), own)
+    each = tried.select("s", "n", "parts", F.explode(F.sequence(F.lit(1), F.when(F.startswith("s", F.lit(BLANK)), 1).otherwise(own))).alias("level"))
+    placed = each.select("n", "level", ((F.col("level") == own) | F.startswith("s", F.lit(BLANK))).alias("last"), hash_chunk(name(F.col("parts"), F.col("level")), chunks).alias("chunk"))
+    deeper, whole = defaultdict(Counter), defaultdict(Counter)  # by level; whole: of subjects that have no more levels
+    for r in placed.groupBy("level", "last", "chunk").agg(F.sum("n").alias("n")).collect():
+        (whole if r["last"] else deeper)[r["level"]][r["chunk"]] += r["n"]
+    best, least, done = 1, None, Counter()
+    for k in range(1, max([1, *deeper, *whole]) + 1):
+        done += whole[k]
+        spread = sum(n * n for n in (done + deeper[k]).values())  # the total is that of all levels, so this ranks deviations
+        if least is None or spread < least:
+            best, least = k, spread
+    return triples.withColumn("chunk", hash_chunk(name(iri_parts(F.col("s")), best), chunks))
 
 
 def pack(sizes: list[tuple[str, int]], chunks: int) -> dict[str, int]:

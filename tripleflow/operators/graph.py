@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.terms import RDF_TYPE
 
 _OWN: dict[str, str] = {}
+ROWS = 100_000  # in a file of a written step
 
 
 def settled(df: DataFrame) -> DataFrame:
@@ -22,7 +23,7 @@ def settled(df: DataFrame) -> DataFrame:
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = _OWN.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="tripleflow-graph-"))
     path = f"{root.rstrip('/')}/graph/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", ROWS).parquet(path)  # small files: however well terms compress, a task reads a bounded number of rows
     out = spark.read.schema(df.schema).parquet(path)
     out._settled_at = path
     return out
