@@ -307,3 +307,15 @@ def test_a_level_is_hashed_once_a_subject(spark):
     best = min(range(1, 96), key=lambda k: (spread(k), k))
     assert best > 1
     assert {r.s: r.chunk for r in cover.collect()} == {s: place[level(s, best)] for s in names}
+
+
+def test_checks_and_hops_take_tasks_by_rows(spark, triples, monkeypatch):
+    from tripleflow.operators import graph
+
+    monkeypatch.setattr(graph, "ROWS", 2)
+    wide = covers.n_hop(covers.hash_cover(triples, 3), 1)
+    assert wide.rdd.getNumPartitions() == 4  # of 7 triples, two in a task
+    lost = validate.differences(triples, triples.where("p <> '<urn:age>'").unionAll(triples.where("p = '<urn:likes>'")))
+    assert sorted((r.side, r.p) for r in lost.collect()) == [("extra", "<urn:likes>"), ("missing", "<urn:age>"), ("missing", "<urn:age>")]
+    assert lost.columns == ["s", "p", "o", "side"] and lost.rdd.getNumPartitions() == 7  # the sides have 7 and 6
+    assert validate.unplaced(triples, triples.where("p <> '<urn:age>'")).count() == 2

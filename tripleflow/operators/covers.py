@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.terms import BLANK, RDF_TYPE, fold_hash, hash_chunk, iri_parts
-from .graph import neighbours, propagate, settled
+from .graph import neighbours, propagate, settled, spread
 
 OVER = 187  # fixed value: of the number of partitions
 PACKED = 4096  # the largest partitions that are packed one by one; smaller ones are hashed
@@ -176,12 +176,14 @@ def n_hop(cover: DataFrame, hops: int) -> DataFrame:
     if hops == 0:
         return cover
     triples = settled(cover.select("s", "p", "o"))
-    held = settled(cover.select("s", "chunk").distinct())
-    subjects = triples.select(F.col("s").alias("known")).distinct()
+    rows = triples.count()
+    held = settled(spread(cover.select("s", "chunk"), rows, "s").distinct())
+    subjects = spread(triples.select(F.col("s").alias("known")), rows, "known").distinct()
+    links = triples.where(~F.startswith("o", F.lit('"'))).select("s", "o")  # a literal is no subject
     for _ in range(hops):
-        reached = held.join(triples, "s").select(F.col("o").alias("s"), "chunk").distinct()
-        held = settled(held.unionAll(reached.join(subjects, F.col("s") == F.col("known"), "left_semi")).distinct())
-    return held.join(triples, "s").select("s", "p", "o", "chunk")
+        reached = spread(held, rows, "s").join(spread(links, rows, "s"), "s").select(F.col("o").alias("s"), "chunk").distinct()
+        held = settled(spread(held.unionAll(reached.join(subjects, F.col("s") == F.col("known"), "left_semi")), rows, "s").distinct())
+    return spread(held, rows, "s").join(spread(triples, rows, "s"), "s").select("s", "p", "o", "chunk")
 
 
 def containment(cover: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.terms import RDF_TYPE
 
 _OWN: dict[str, str] = {}
-ROWS = 100_000  # in a file of a written step
+ROWS = 100_000  # in a file of a written step, and in a task of a spread table
 
 
 def settled(df: DataFrame) -> DataFrame:
@@ -29,6 +29,11 @@ def settled(df: DataFrame) -> DataFrame:
     return out
 
 
+def spread(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """``df`` by hash of ``keys`` over as many tasks as ``rows`` asks for: what a task holds doesn't grow with the table."""
+    return df.repartition(max(1, -(-rows // ROWS)), *keys)
+
+
 def unsettle(*settled_: DataFrame) -> None:
     """Delete the files of tables that ``settled`` gave."""
     for df in settled_:

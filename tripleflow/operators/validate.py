@@ -5,15 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .graph import settled, spread
+
 
 def differences(expected: DataFrame, found: DataFrame) -> DataFrame:
     """Triples of one side that the other lacks, with the side: both directions, counted."""
-    a, b = expected.select("s", "p", "o"), found.select("s", "p", "o")
-    return a.exceptAll(b).withColumn("side", F.lit("missing")).unionAll(b.exceptAll(a).withColumn("side", F.lit("extra")))
+    side = lambda df, n: df.select("s", "p", "o", F.lit(n).alias("n"))
+    both = settled(side(expected, 1).unionAll(side(found, -1)))
+    excess = spread(both, both.count(), "s", "p", "o").groupBy("s", "p", "o").agg(F.sum("n").cast("int").alias("n")).where("n <> 0")
+    return excess.select("s", "p", "o", F.when(F.col("n") > 0, "missing").otherwise("extra").alias("side"), F.explode(F.sequence(F.lit(1), F.abs("n"))).alias("n")).drop("n")
 
 
 def unplaced(triples: DataFrame, cover: DataFrame) -> DataFrame:
-    return triples.join(cover, ["s", "p", "o"], "left_anti")
+    rows, keys = triples.count(), ["s", "p", "o"]
+    return spread(triples, rows, *keys).join(spread(cover, rows, *keys), keys, "left_anti")
 
 
 def wrong_owners(stats: DataFrame, owners: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions.terms import RDF_TYPE
 from .operators import covers, dictionary, statistics, telemetry, validate
-from .operators.graph import settled
+from .operators.graph import settled, spread
 from .plans.parser import parse
 from .plans.planner import compile_plan
 from .sources.ntriples import parse_lines
@@ -174,7 +174,7 @@ def _owned(spark: SparkSession, d: str) -> DataFrame:
 def _validate_cover(spark: SparkSession, d: str) -> DataFrame:
     """A cover from which the names of nations are gone and in which regions are twice: both must be found, and nothing else."""
     t = settled(_triples(spark, d))
-    c = covers.containment(covers.n_hop(covers.hash_cover(t, CHUNKS), 1)).select("s", "p", "o")
+    c = settled(covers.containment(covers.n_hop(covers.hash_cover(t, CHUNKS), 1)).select("s", "p", "o"))
     spoilt = c.where("p <> '<urn:n_name>'").unionAll(c.where("p = '<urn:r_name>'"))
     return validate.differences(t, spoilt).groupBy("side").agg(F.count(F.lit(1)).alias("n"))
 
@@ -206,7 +206,7 @@ def _cover_check(name: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, d: str) -> DataFrame:
         t = settled(_triples(spark, d))
         c = settled(covers.STRATEGIES[name](t, CHUNKS))
-        counted = c.agg(F.count(F.lit(1)).alias("placed"), F.countDistinct("s", "p", "o").alias("different"), F.count(F.when(~F.col("chunk").between(0, CHUNKS - 1), 1)).alias("outside"))
+        counted = spread(c, c.count(), "s", "p", "o").agg(F.count(F.lit(1)).alias("placed"), F.countDistinct("s", "p", "o").alias("different"), F.count(F.when(~F.col("chunk").between(0, CHUNKS - 1), 1)).alias("outside"))
         split = c.groupBy("s").agg(F.countDistinct("chunk").alias("n")).agg(F.count(F.when(F.col("n") > 1, 1)).alias("split"))
         lost = validate.unplaced(t, c).agg(F.count(F.lit(1)).alias("lost"))
         return counted.join(split, F.lit(True)).join(lost, F.lit(True))
