@@ -319,3 +319,25 @@ def test_checks_and_hops_take_tasks_by_rows(spark, triples, monkeypatch):
     assert sorted((r.side, r.p) for r in lost.collect()) == [("extra", "<urn:likes>"), ("missing", "<urn:age>"), ("missing", "<urn:age>")]
     assert lost.columns == ["s", "p", "o", "side"] and lost.rdd.getNumPartitions() == 7  # the sides have 7 and 6
     assert validate.unplaced(triples, triples.where("p <> '<urn:age>'")).count() == 2
+
+
+def test_joins_that_multiply_come_last_and_in_pieces(spark, monkeypatch):
+    from tripleflow.plans import planner
+    from tripleflow.plans.algebra import TriplePattern, Var
+    from tripleflow.sources.tables import StoredGraph
+
+    a, b, n, g, t = map(Var, "abngt")
+    one, two, three, four = TriplePattern(a, "<urn:in>", n), TriplePattern(a, "<urn:seg>", g), TriplePattern(b, "<urn:at>", n), TriplePattern(a, "<urn:type>", t)
+    assert planner.arranged((((one, two), three), four)) == (((one, two), four), three)
+    assert planner.arranged((four, (three, (one, two)))) == ((((one, two), four)), three)
+    monkeypatch.setattr(planner, "PIECE", 50)
+    data = [(f"<urn:a/{i}>", p, o) for i in range(40) for p, o in (("<urn:in>", f"<urn:n/{i % 2}>"), ("<urn:seg>", '"x"'), ("<urn:type>", "<urn:a>"))] + [(f"<urn:b/{i}>", "<urn:at>", f"<urn:n/{i % 3}>") for i in range(60)]
+    graph = StoredGraph(spark.createDataFrame(data, "s string, p string, o string"))
+    text = "SELECT ?a ?b ?n ?t { ?a <urn:in> ?n . ?a <urn:seg> ?g . ?b <urn:at> ?n . ?a <urn:type> ?t }"
+    want = sorted((f"<urn:a/{i}>", f"<urn:b/{j}>", f"<urn:n/{i % 2}>", "<urn:a>") for i in range(40) for j in range(60) if i % 2 == j % 3)
+    for tree in ("LEFT_LINEAR", "RIGHT_LINEAR", "BUSHY"):
+        out = planner.compile_plan(graph, parse(text), tree)
+        assert rows(out) == want
+    out = planner.compile_plan(graph, parse(text))
+    made = [r["n"] for r in out.groupBy(F.spark_partition_id()).agg(F.count("a").alias("n")).collect()]
+    assert max(made) <= 300 and len(made) > 4  # of 800 rows by two values; two tasks had 400 each
