@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import os
 import random
 import re
 import tracemalloc
@@ -695,6 +696,19 @@ def test_training_an_index_takes_little_memory():
     assert peak < 60e6  # all distances at once took more than 128 MB
 
 
+def test_the_driver_fits_no_index(spark, monkeypatch):
+    driver, train = os.getpid(), ann.train
+
+    def elsewhere(*given):
+        assert os.getpid() != driver
+        return train(*given)
+
+    monkeypatch.setattr(ann, "train", elsewhere)
+    x = np.random.default_rng(8).standard_normal((60, 4))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    assert ann.search(df, df.where("vec_id % 50 = 0")).count() == 10
+
+
 def test_search_of_lists_of_several_blocks_and_rare_lengths(spark, monkeypatch):
     monkeypatch.setattr(ann, "BLOCK", 16)
     monkeypatch.setattr(ann, "PROBED", 7)
